@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ridgeline.llm import decontaminate, near_dedup, packing, secrets, toxicity
+from ridgeline.llm import chat, decontaminate, html_blocks, materialise, near_dedup, neighbours, packing, quality, secrets, toxicity
 
-MODULES = (near_dedup, decontaminate, toxicity, secrets, packing)
+MODULES = (html_blocks, packing, chat, materialise, decontaminate, neighbours, near_dedup, toxicity, quality, secrets)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
