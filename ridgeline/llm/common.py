@@ -1,4 +1,4 @@
-"""What the text operators share: durable cuts, folding text to words, hashing.
+"""What the text operators share: folding text to words, hashing.
 
 Text is folded one character at a time: compatibility decomposition, marks
 dropped, lower case, everything that is not a letter or digit becomes a space,
@@ -14,35 +14,13 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgeline.checkpoints import cut, ensure_checkpoint_dir  # noqa: F401
+
 _ASCII = bytes(
     (b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() else 32) if b < 128 else b for b in range(256)
 )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only in local mode."""
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        current = sc.getCheckpointDir()
-        if current:
-            return current
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="ridgeline-checkpoint-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared)
-    return shared
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

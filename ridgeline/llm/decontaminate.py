@@ -28,7 +28,7 @@ MAX_PATTERN_CHARS = 8_000_000
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType())]))
 _ARROW_SPAN = pa.list_(pa.struct([("item_id", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64())]))
-_BUILT: dict[int, tuple] = {}
+_BUILT: dict[tuple, tuple] = {}
 
 
 def windows(text: str | None, size: int = WINDOW, least: int = MIN_WORDS) -> list[str]:
@@ -74,14 +74,20 @@ def spans(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, i
     return sorted((item, int(at[a]), int(at[b - 1]) + 1) for item, own in found.items() for a, b in own)
 
 
+def _built(items: list[tuple[int, str]], size: int, least: int) -> ahocorasick.Automaton | None:
+    """The automaton of some items; kept in the worker, which gets the same list for all tasks of a query."""
+    key = id(items), size, least
+    if key not in _BUILT:
+        if len(_BUILT) > 8:
+            _BUILT.clear()
+        _BUILT[key] = (items, build(items, size, least))
+    return _BUILT[key][1]
+
+
 def _scanner(shared, size: int, least: int):
     @F.arrow_udf(_SPAN)
     def scan(text: pa.Array) -> pa.Array:
-        key = id(shared.value), size, least
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = (shared.value, build(shared.value, size, least))
-        automaton = _BUILT[key][1]
+        automaton = _built(shared.value, size, least)
         out = [
             [{"item_id": i, "start_char": a, "end_char": b} for i, a, b in spans(automaton, t)] if automaton is not None and t else []
             for t in text.to_pylist()

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import chunks_by_size, cut, fold, mix64, read, word_hashes
+from ridgeline.operators.graph import connected_components
 
 SHINGLE = 3
 ROWS, BANDS = 5, 51
@@ -218,39 +219,6 @@ def _verify(limit: int):
     return run
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the least id of its component.
-
-    Alternating stars: every round points larger neighbours at the least id
-    around a node, then smaller ones; it ends when a round changes nothing,
-    after a logarithmic number of rounds.
-    """
-    current = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    w = Window.partitionBy("u")
-    while True:
-        both = current.selectExpr("a as u", "b as v").unionByName(current.selectExpr("b as u", "a as v"))
-        large = (
-            both.withColumn("m", F.least(F.col("u"), F.min("v").over(w)))
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        lower = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = (
-            lower.withColumn("m", F.min("v").over(w))
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select(F.col("e.v").alias("a"), F.col("e.u").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        nxt = cut(small)
-        sig = lambda d: d.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0))).first()
-        if sig(nxt) == sig(current):
-            return nxt.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        current = nxt
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per distinct doc_id: the document kept for its group, and whether it is that one.
 

@@ -144,16 +144,22 @@ _SCORE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ma
 _BUILT: dict[int, tuple] = {}
 
 
+def _built(terms: tuple[dict[str, float], tuple[str, ...]]) -> ahocorasick.Automaton:
+    """The automaton of some terms; kept in the worker, which gets the same object for all tasks of a query."""
+    if id(terms) not in _BUILT:
+        if len(_BUILT) > 8:
+            _BUILT.clear()
+        _BUILT[id(terms)] = (terms, build(*terms))
+    return _BUILT[id(terms)][1]
+
+
 def score_column(spark: SparkSession, lexicon: dict[str, float], text: Column, exceptions: tuple[str, ...] = EXCEPTIONS) -> Column:
     shared = spark.sparkContext.broadcast((lexicon, exceptions))
 
     @F.arrow_udf(_SCORE)
     def score(texts: pa.Array) -> pa.Array:
-        key = id(shared.value)
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = (shared.value, build(*shared.value))
-        found = [score_text(_BUILT[key][1], t) for t in texts.to_pylist()]
+        automaton = _built(shared.value)
+        found = [score_text(automaton, t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32())], names=["score", "matches"])
 
     return score(text.cast("string"))
