@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ridgeline.plans import sight, sites
+from ridgeline.plans import files, sight, sites
 
-MODULES = (sight, sites)
+MODULES = (sight, sites, files)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}

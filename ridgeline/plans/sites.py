@@ -82,6 +82,10 @@ def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return t, corrections.serialize(t, corrections.fold_changes(inputs.changes(spark, sf_dir)))
 
 
+def corrections_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir)[1]
+
+
 def serialized_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK3, PR11, told by site: date, line number and what follows."""
     parts = F.split("line", ",")
