@@ -1,0 +1,137 @@
+"""Vectors for traversal, curvature, clipping and blocking, and the hazards of floats."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from ridgeline.functions import rays, transforms
+from ridgeline.operators import crossings, links, raster, tile_rays, visibility
+
+X, Y, XY = "X", "Y", "XY"
+VECTORS = [
+    ((0, 0, 4, 0), [(X, 0.25, 1, 0), (X, 0.5, 2, 0), (X, 0.75, 3, 0)]),
+    ((-1, 0, 5, 0), [(X, 0.2, 0, 0), (X, 0.4, 1, 0), (X, 0.6, 2, 0), (X, 0.8, 3, 0)]),
+    ((4, 0, -4, 0), [(X, 0.25, 2, 0), (X, 0.5, 1, 0), (X, 0.75, 0, 0)]),
+    ((0, 0, 0, 4), [(Y, 0.25, 0, 1), (Y, 0.5, 0, 2), (Y, 0.75, 0, 3)]),
+    ((0, 4, 0, -4), [(Y, 0.25, 0, 2), (Y, 0.5, 0, 1), (Y, 0.75, 0, 0)]),
+    ((0, 0, 4, 4), [(XY, 0.25, 1, 1), (XY, 0.5, 2, 2), (XY, 0.75, 3, 3)]),
+    ((4, 4, -4, -4), [(XY, 0.25, 2, 2), (XY, 0.5, 1, 1), (XY, 0.75, 0, 0)]),
+    ((0, 0, 4, 2), [(X, 0.25, 1, 0), (XY, 0.5, 2, 1), (X, 0.75, 3, 1)]),
+]
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "i long, sx double, sy double, dx double, dy double")
+
+
+def test_crossings(spark):
+    found = crossings.boundary_crossings(table(spark, [v[0] for v in VECTORS]), ["i"]).orderBy("i", "seq").collect()
+    for i, (_, want) in enumerate(VECTORS):
+        got = [(r.boundary_type, round(r.t, 9), r.pixel_x, r.pixel_y) for r in found if r.i == i]
+        assert got == want
+
+
+def test_a_ray_that_rounds_at_the_edge_stays_inside(spark):
+    ray = (0, 165.00000000087311, 1835.0000000000364, 1834.9999999991269)
+    seg = crossings.pixel_segments(table(spark, [ray]), ["i"]).agg(F.max("pixel_x"), F.max("pixel_y")).first()
+    assert max(seg) < 2000
+
+
+def test_a_ray_of_no_length_has_one_pixel(spark):
+    seg = crossings.pixel_segments(table(spark, [(2.5, 3.5, 0, 0), (2.5, 3.5, -0.0, 0)]), ["i"]).collect()
+    assert [(r.pixel_x, r.pixel_y, r.start_t, r.end_t) for r in seg] == [(2, 3, 0.0, 1.0)] * 2
+
+
+def test_pixels_in_a_row_are_those_of_the_set_form(spark):
+    rng = random.Random(5)
+    t = table(spark, [[rng.uniform(-20, 20) for _ in range(4)] for _ in range(300)])
+    a = {(r.i, r.pixel_x, r.pixel_y) for r in crossings.pixel_segments(t, ["i"]).collect()}
+    cols = [F.col(c) for c in ("sx", "sy", "dx", "dy")]
+    b = {(r.i, r.s.pixel_x, r.s.pixel_y) for r in t.select("i", F.explode(crossings.segments_in_row(*cols)).alias("s")).collect()}
+    assert a == b
+
+
+@pytest.mark.parametrize("t,length,drop", [(0, 1000, 0), (1, 1000, 0), (0.5, 1000, 0.0174), (0.5, 10000, 1.736)])
+def test_curvature(spark, t, length, drop):
+    got = spark.range(1).select(rays.curvature_drop(F.lit(float(t)), F.lit(float(length)))).first()[0]
+    assert got == pytest.approx(drop, abs=1e-3)
+
+
+def link(spark, sx, sy, dx, dy, sz=10.0, dz=0.0):
+    length = math.hypot(dx, dy) * 1000
+    return spark.createDataFrame([(1, 2, *map(float, (sx, sy, sz, dx, dy, dz, length)))], "id1 long, id2 long, sx double, sy double, sz double, dx double, dy double, dz double, length_m double")
+
+
+def test_corner_touches_are_no_passage(spark):
+    found = tile_rays.clip_to_tiles(link(spark, 0, 0, 1.5, 1.5), 100).collect()
+    assert {(r.tile_x, r.tile_y) for r in found} == {(0, 0), (1, 1)}
+
+
+def test_three_tiles_cover_the_link_once(spark):
+    found = sorted(tile_rays.clip_to_tiles(link(spark, 0.5, 0.5, 2.0, 0.0), 100).collect(), key=lambda r: r.start_t)
+    assert [r.tile_x for r in found] == [0, 1, 2]
+    assert [(r.start_t, r.end_t) for r in found] == [(0.0, 0.25), (0.25, 0.75), (0.75, 1.0)]
+    assert found[0].pz == 10 and found[1].pz < 10 and found[2].pz + found[2].pdz == pytest.approx(10)
+
+
+def test_a_link_within_a_tile_has_no_curvature(spark):
+    r = tile_rays.clip_to_tiles(link(spark, 0.1, 0.1, 0.8, 0.0), 100).first()
+    assert (r.pz, r.pdz) == (10, 0)
+
+
+def test_touching_blocks_and_nan_never_does(spark):
+    rows = [(1.0, 1.0, True), (1.0, 1.0000001, False), (float("nan"), 1.0, False), (float("inf"), 1.0, True)]
+    got = spark.createDataFrame(rows, "h float, z double, want boolean").select(rays.blocks(F.col("h"), F.col("z")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [True, False, False, True]
+
+
+def test_transforms_go_there_and_back(spark):
+    px, py = F.lit(18925.1985), F.lit(26935.5237)
+    x, y = transforms.pixel_to_model(px, py)
+    bx, by = transforms.model_to_pixel(x, y)
+    assert spark.range(1).select(bx, by).first() == pytest.approx((18925.1985, 26935.5237))
+
+
+def nodes(spark, rows):
+    return spark.createDataFrame([(i, i, *map(float, r[:3]), r[3]) for i, r in enumerate(rows)], "idx long, database_line long, x double, y double, z double, active boolean")
+
+
+def test_links_keep_the_limit_itself_and_need_one_active_end(spark):
+    n = nodes(spark, [(0, 0, 1, False), (256, 0, 1, False), (512, 0, 1, True), (512.5, 0, 1, False)])
+    got = {(r.id1, r.id2) for r in links.link_nodes(n, 256.0).collect()}
+    assert got == {(2, 1), (3, 2)}
+    every = {(r.id1, r.id2) for r in links.link_nodes(n).collect()}
+    assert every == {(2, 0), (2, 1), (3, 2)}
+
+
+def test_links_are_those_of_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(rng.uniform(-900, 900), rng.uniform(-900, 900), 1, rng.random() < 0.5) for _ in range(250)]
+    got = {(r.id1, r.id2) for r in links.link_nodes(nodes(spark, rows), 200.0).collect()}
+    want = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows[:i]) if (a[3] or b[3]) and math.hypot(a[0] - b[0], a[1] - b[1]) <= 200}
+    assert got == want
+
+
+def test_the_greatest_height_leaves_nan_apart(spark):
+    rows = [(0, 0, k % 4, k // 4, float("nan") if k in (0, 1) else float(k)) for k in range(16)]
+    px = spark.createDataFrame(rows, "tile_x int, tile_y int, px int, py int, h float")
+    got = {(r.bx, r.by): r.h for r in raster.downsample(px, 2).collect()}
+    assert got == {(0, 0): 5.0, (1, 0): 7.0, (0, 1): 13.0, (1, 1): 15.0}
+    alone = raster.downsample(px.where("h = double('nan')"), 4).first()
+    assert alone.h == float("-inf")
+
+
+def test_the_cascade_answers_like_every_pixel(spark):
+    rng = random.Random(11)
+    px = spark.createDataFrame([(tx, ty, x, y, float(rng.choice([0, 0, 0, 0, 0, 0, 8, 12]) if rng.random() < 0.2 else 0)) for tx in (0, 1) for ty in (0, 1) for x in range(20) for y in range(20)], "tile_x int, tile_y int, px int, py int, h float")
+    rows = []
+    for i in range(150):
+        ax, ay, bx, by = (rng.uniform(0.01, 1.99) for _ in range(4))
+        rows.append((i, -i, ax, ay, rng.uniform(5, 15), bx - ax, by - ay, rng.uniform(-3, 3), math.hypot(bx - ax, by - ay) * 1000))
+    own = spark.createDataFrame(rows, "id1 long, id2 long, sx double, sy double, sz double, dx double, dy double, dz double, length_m double")
+    fast = visibility.line_of_sight(own, raster.to_blocks(px, 5), 20, 5).select("id1", "is_free").collect()
+    plain = visibility.line_of_sight_by_pixel(own, px, 20).select("id1", "is_free").collect()
+    assert sorted(map(tuple, fast)) == sorted(map(tuple, plain))
+    assert len({r.is_free for r in fast}) == 2
