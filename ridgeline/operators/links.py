@@ -46,11 +46,14 @@ def link_nodes(nodes: DataFrame, max_length_m: float = math.inf) -> DataFrame:
     else:
         # A little wider than the limit, so that rounding at a cell's edge loses no pair.
         side = limit * (1 + 1e-9) + 1e-12
-        near = F.sequence(F.lit(-1), F.lit(1))
         cell = lambda c: F.floor(F.col(c) / side)
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         left = first.withColumns({"cx": cell("a_tx"), "cy": cell("a_ty")})
-        right = second.withColumn("i", F.explode(near)).withColumn("j", F.explode(near)).withColumns({"cx": cell("b_tx") + F.col("i"), "cy": cell("b_ty") + F.col("j")})
-        joined = left.join(right.drop("i", "j"), ["cx", "cy"]).where(pair & (dx * dx + dy * dy <= limit * limit))
+        right = second.withColumn("o", F.explode(around)).withColumns({"cx": cell("b_tx") + F.col("o.i"), "cy": cell("b_ty") + F.col("o.j")}).drop("o")
+        # Pairs grow with the square of a cell's rows: by bytes, small inputs would be coalesced into one task.
+        tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = (d.repartition(tasks, "cx", "cy") for d in (left, right))
+        joined = left.hint("shuffle_hash").join(right, ["cx", "cy"]).where(pair & (dx * dx + dy * dy <= limit * limit))
     return joined.select(
         F.col("a_database_line").alias("id1"),
         F.col("b_database_line").alias("id2"),
