@@ -19,18 +19,25 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import cut, read
 
-#: Alternatives: key = value assignments, and values known by their shape. One syntax for Java and RE2.
+_NAMES = r"(?i:\b(?:api[_-]?key|access[_-]?key|client[_-]?secret|secret[_-]?key|secret|auth[_-]?token|token|passwd|password|pwd))"
+#: A private key up to its END line, or as far as it goes without one: header lines, then base64 with line ends of any kind, also written as \n in a string.
+_KEY_BLOCK = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s|\\[rn])*+"
+    r"(?:[A-Za-z][A-Za-z0-9-]*+: [^\r\n\\]*+(?:\s|\\[rn])++)*+[A-Za-z0-9+/=\s\\]{32,}+"
+)
+#: Alternatives: key = value assignments, and values known by their shape, each as long as it is. Possessive
+#: repetition, which neither steps back nor recurses, keeps a long value cheap; it is Java's syntax, not RE2's.
 PATTERN = (
-    r"(?i:\b(?:api[_-]?key|access[_-]?key|client[_-]?secret|secret[_-]?key|secret|auth[_-]?token|token|passwd|password|pwd))"
-    r"[\"']? ?[=:] ?[\"'][A-Za-z0-9_/+=.~-]{12,512}[\"']"
-    r"|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,255}\b|\bxox[abprs]-[A-Za-z0-9-]{10,200}\b|\bsk-[A-Za-z0-9_-]{20,200}\b"
-    r"|\bAIza[0-9A-Za-z_-]{35}\b|\beyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}"
-    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/= \n]{32,1000}"
-    r"|\b[a-z][a-z0-9+]{2,12}://[A-Za-z0-9_.-]{1,64}:[A-Za-z0-9_.~!%-]{6,128}@"
+    _NAMES + r"[\"']? ?[=:] ?[\"'][A-Za-z0-9_/+=.~-]{12,}+[\"']"
+    r"|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}\b|\bsk-[A-Za-z0-9_-]{20,}\b"
+    r"|\bAIza[0-9A-Za-z_-]{35}\b|\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+    r"|" + _KEY_BLOCK + r"|\b[a-z][a-z0-9+]{2,12}://[A-Za-z0-9_.-]++:[A-Za-z0-9_.~!%-]{6,}+@"
 )
 #: The value within a match: what follows the sign of an assignment, without quotes.
 LEAD = r"^[A-Za-z_-]+[\"']? ?[=:] ?[\"']|[\"']$"
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234567|abcdef0|test"
+#: In a value of more than LONG_CHARS, such as a key block, four or five letters turn up by chance.
+LONG_CHARS, LONG_PLACEHOLDER = 512, r"(?i)example|sample|placeholder|changeme|xxxxxxxx|00000000|1234567|abcdef0"
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, MIN_DISTINCT_CHARS = 3, 5, 8
 
 
@@ -40,7 +47,8 @@ def _values(text: Column) -> Column:
 
 
 def _looks_live(value: Column) -> Column:
-    return (F.size(F.array_distinct(F.split(value, ""))) >= MIN_DISTINCT_CHARS) & ~value.rlike(PLACEHOLDER)
+    made_up = F.when(F.length(value) > LONG_CHARS, value.rlike(LONG_PLACEHOLDER)).otherwise(value.rlike(PLACEHOLDER))
+    return (F.size(F.array_distinct(F.split(value, ""))) >= MIN_DISTINCT_CHARS) & ~made_up
 
 
 def _kind(value: Column) -> Column:
@@ -119,7 +127,17 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_VALUE = f"unnest(list_transform(regexp_extract_all(text, {_quoted(PATTERN)}, 0), lambda m: regexp_replace(m, {_quoted(LEAD)}, '', 'g')))"
+#: The SQL stays as registered: narrower than PATTERN (values of limited length), with the same rows on the given tables.
+_SQL_PATTERN = (
+    r"(?i:\b(?:api[_-]?key|access[_-]?key|client[_-]?secret|secret[_-]?key|secret|auth[_-]?token|token|passwd|password|pwd))"
+    r"[\"']? ?[=:] ?[\"'][A-Za-z0-9_/+=.~-]{12,512}[\"']"
+    r"|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,255}\b|\bxox[abprs]-[A-Za-z0-9-]{10,200}\b|\bsk-[A-Za-z0-9_-]{20,200}\b"
+    r"|\bAIza[0-9A-Za-z_-]{35}\b|\beyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}"
+    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/= \n]{32,1000}"
+    r"|\b[a-z][a-z0-9+]{2,12}://[A-Za-z0-9_.-]{1,64}:[A-Za-z0-9_.~!%-]{6,128}@"
+)
+_SQL_LEAD = r"^[A-Za-z_-]+[\"']? ?[=:] ?[\"']|[\"']$"
+_VALUE = f"unnest(list_transform(regexp_extract_all(text, {_quoted(_SQL_PATTERN)}, 0), lambda m: regexp_replace(m, {_quoted(_SQL_LEAD)}, '', 'g')))"
 QUERIES = {"op10_secret_scan": op10_secret_scan}
 SQL = {
     "op10_secret_scan": f"""
