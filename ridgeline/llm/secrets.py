@@ -19,7 +19,14 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import cut, read
 
-_NAMES = r"(?i:\b(?:api[_-]?key|access[_-]?key|client[_-]?secret|secret[_-]?key|secret|auth[_-]?token|token|passwd|password|pwd))"
+#: Anything may stand before a name: AWS_SECRET_ACCESS_KEY ends in one.
+_NAMES = r"(?i:api[_-]?key|access[_-]?key|client[_-]?secret|secret[_-]?key|secret|auth[_-]?token|token|passwd|password|pwd)"
+_SIGN = r"[\"']? ?[=:] ?"
+#: A value without quotes: 12 characters or more with a digit, so that code (token = get_token(...)) and prose are none; a full stop after it isn't part of it.
+_BARE = r"(?![=/])(?=[A-Za-z0-9_/+=.~-]{12})(?=[A-Za-z_/+=.~-]*+[0-9])[A-Za-z0-9_/+=~-]++(?:\.++[A-Za-z0-9_/+=~-]++)*+(?=\.*+(?:[\s,;&\"'`<)\]}\\]|$))"
+#: A line of an .env file needs no digit: nothing but NAME=value.
+_ENV_LEAD = r"^[ \t]*+(?:export[ \t]++)?[A-Za-z0-9_.-]*?" + _NAMES + "="
+_ENV = r"(?m:" + _ENV_LEAD + r"(?!=)[A-Za-z0-9_/+=.~-]{12,}+(?=[ \t\r]*+$))"
 #: A private key up to its END line, or as far as it goes without one: header lines, then base64 with line ends of any kind, also written as \n in a string.
 _KEY_BLOCK = (
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s|\\[rn])*+"
@@ -28,13 +35,13 @@ _KEY_BLOCK = (
 #: Alternatives: key = value assignments, and values known by their shape, each as long as it is. Possessive
 #: repetition, which neither steps back nor recurses, keeps a long value cheap; it is Java's syntax, not RE2's.
 PATTERN = (
-    _NAMES + r"[\"']? ?[=:] ?[\"'][A-Za-z0-9_/+=.~-]{12,}+[\"']"
+    _ENV + "|" + _NAMES + _SIGN + r"(?:[\"'][A-Za-z0-9_/+=.~-]{12,}+[\"']|" + _BARE + ")"
     r"|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}\b|\bsk-[A-Za-z0-9_-]{20,}\b"
     r"|\bAIza[0-9A-Za-z_-]{35}\b|\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
     r"|" + _KEY_BLOCK + r"|\b[a-z][a-z0-9+]{2,12}://[A-Za-z0-9_.-]++:[A-Za-z0-9_.~!%-]{6,}+@"
 )
 #: The value within a match: what follows the sign of an assignment, without quotes.
-LEAD = r"^[A-Za-z_-]+[\"']? ?[=:] ?[\"']|[\"']$"
+LEAD = "^" + _NAMES + _SIGN + r"[\"']?|" + _ENV_LEAD + r"|[\"']$"
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234567|abcdef0|test"
 #: In a value of more than LONG_CHARS, such as a key block, four or five letters turn up by chance.
 LONG_CHARS, LONG_PLACEHOLDER = 512, r"(?i)example|sample|placeholder|changeme|xxxxxxxx|00000000|1234567|abcdef0"
@@ -127,7 +134,7 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-#: The SQL stays as registered: narrower than PATTERN (values of limited length), with the same rows on the given tables.
+#: The SQL stays as registered: narrower than PATTERN (values of limited length and in quotes, names without a prefix), with the same rows on the given tables.
 _SQL_PATTERN = (
     r"(?i:\b(?:api[_-]?key|access[_-]?key|client[_-]?secret|secret[_-]?key|secret|auth[_-]?token|token|passwd|password|pwd))"
     r"[\"']? ?[=:] ?[\"'][A-Za-z0-9_/+=.~-]{12,512}[\"']"

@@ -412,6 +412,46 @@ def test_key_block_of_any_size(spark):
     assert secrets.redact_secrets(docs(spark, [(1, text + "-----END RSA PRIVATE KEY-----")])).first().text == "[SECRET]-----END RSA PRIVATE KEY-----"
 
 
+HEX = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+SPELLINGS = [
+    *(f'{name}{sign}"{HEX}"' for name in ("AWS_SECRET_ACCESS_KEY", "DB_PASSWORD", "GITHUB_TOKEN", "my-api-key", "token") for sign in ("=", " = ", ": ")),
+    *(f"{lead}{name}={HEX}{end}" for lead in ("", "export ", "  ") for name in ("API_KEY", "DB_PASSWORD", "token") for end in ("", "\r", "  ")),
+    f'{{"access_token": "{HEX}", "id": 7}}',
+    f"{{'refresh_token':'{HEX}'}}",
+    f"db:\n  password: {HEX}\n  user: me",
+    f"curl https://api.site.org/v1?access_token={HEX}&page=2",
+    f"the api_key is set by API_KEY = {HEX}.",
+    f"login(user, password={HEX})",
+]
+
+
+def test_names_with_prefix_and_values_without_quotes(spark):
+    df = docs(spark, list(enumerate(f"first line\n{t}\nlast line" for t in SPELLINGS)))
+    got = sorted((r.doc_id, r.kind, r.secret_hash, r.occurrences, r.n_owners, r.n_repositories, r.verdict) for r in secrets.secret_scan(df).collect())
+    digest = hashlib.sha256(HEX.encode()).hexdigest()
+    assert got == [(k, "assigned", digest, 1, 1, 1, "live") for k in range(len(SPELLINGS))]
+    text = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
+    assert text == {k: f"first line\n{t}\nlast line".replace(HEX, "[SECRET]") for k, t in enumerate(SPELLINGS)}
+
+
+def test_env_values_keep_their_kind_and_need_no_digit(spark):
+    jwt = f"eyJ{varied(60)}.{varied(90, 1)}.{varied(43, 2)}"
+    values = {"GH_TOKEN=ghp_" + varied(36): "github_token", "SLACK_TOKEN=xoxb-" + varied(30): "slack_token", f"AUTH_TOKEN={jwt}": "jwt", "DB_PASSWORD=QWERTZUIOPasdfgh": "assigned"}
+    got = secrets.secret_scan(docs(spark, list(enumerate(values)))).collect()
+    want = {(k, kind, hashlib.sha256(line.split("=", 1)[1].encode()).hexdigest()) for k, (line, kind) in enumerate(values.items())}
+    assert {(r.doc_id, r.kind, r.secret_hash) for r in got} == want
+
+
+@pytest.mark.parametrize("text", ["token = get_token_from_request(headers)", "token = self.tokens2.get_first(x)", "password: correspondence is long", "if token == expected_token_value:", "tokens = tokenizer.encode(text)", "secret: short1", "the password policy of 2024"])
+def test_code_and_prose_are_no_secrets(spark, text):
+    assert secrets.secret_scan(docs(spark, [(1, text)])).count() == 0
+
+
+def test_long_runs_take_linear_time(spark):
+    texts = ["a_-" * 200_000, "password" * 50_000, "x" * 500_000 + "=", "-----BEGIN RSA PRIVATE KEY-----" * 10_000, "-----BEGIN RSA PRIVATE KEY-----\n" + "a: b\n" * 100_000]
+    assert secrets.redact_secrets(docs(spark, list(enumerate(texts)))).count() == len(texts)
+
+
 def test_secrets_of_odd_input(spark):
     df = odd(spark)
     assert secrets.secret_scan(df).count() == 0
