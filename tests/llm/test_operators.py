@@ -236,6 +236,18 @@ def test_vectors_that_are_none(spark):
     assert neighbours.nearest_neighbours(df.where("vec_id = 1")).count() == 0
 
 
+def test_ties_go_to_the_least_ids():
+    n, k = 300, 5
+    x = np.zeros((2 * n, 4), np.float32)
+    x[:, 0] = 1
+    ids = np.tile(np.random.default_rng(5).permutation(n), 2)
+    got = collections.defaultdict(set)
+    for q, m, _ in neighbours._best(np.zeros(2 * n, np.int64), ids, np.arange(2 * n) >= n, x, k):
+        for a, b in zip(q, m):
+            got[a].add(b)
+    assert got == {i: set([j for j in range(k + 1) if j != i][:k]) for i in range(n)}
+
+
 # 7 near-dedup
 
 
