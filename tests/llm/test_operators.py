@@ -3,6 +3,7 @@
 import collections
 import glob
 import hashlib
+import heapq
 import random
 
 import numpy as np
@@ -211,25 +212,105 @@ def test_decontamination_of_odd_input(spark):
 # 6 neighbours
 
 
-def test_recall_against_brute_force(spark):
-    rng = np.random.default_rng(3)
-    x = np.vstack([rng.standard_normal(24) + c for c in 2 * rng.standard_normal((40, 24)) for _ in range(50)]).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+def clustered(n, dims=64, clusters=400, seed=3):
+    rng = np.random.default_rng(seed)
+    return np.repeat(2 * rng.standard_normal((clusters, dims)), n // clusters, axis=0).astype(np.float32) + rng.standard_normal((n, dims)).astype(np.float32)
+
+
+def vectors(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+
+
+def true_neighbours(x, queries, k=10):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = u[queries] @ u.T
+    sims[np.arange(len(queries)), queries] = -2
+    return np.argsort(-sims, axis=1)[:, :k]
+
+
+def recall(rows, best, queries):
     got = collections.defaultdict(set)
-    for r in neighbours.nearest_neighbours(df, leaf=64).collect():
+    for r in rows:
         got[r.vec_id].add(r.neighbour_id)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    sims = u @ u.T
-    np.fill_diagonal(sims, -2)
-    best = np.argsort(-sims, axis=1)[:, :10]
-    assert set(got) == set(range(len(x)))
-    assert np.mean([len(got[i] & set(best[i])) / 10 for i in range(len(x))]) >= 0.9
+    assert set(got) == set(queries) and all(len(v) == best.shape[1] for v in got.values())
+    return np.mean([len(got[i] & set(b)) / best.shape[1] for i, b in zip(queries, best)])
+
+
+def test_recall_and_comparisons_at_20_000_vectors(spark):
+    x = clustered(20_000)
+    df, queries = vectors(spark, x), np.arange(0, 20_000, 20)
+    assert recall(neighbours.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect(), true_neighbours(x, queries), queries) >= 0.9
+    unit, dims = neighbours._prepared(df)
+    asked = unit.where("vec_id % 20 = 0")
+    forest = neighbours.grow(unit, len(x), dims, neighbours.TREES, neighbours.LEAF)
+    assert neighbours.calibrate(unit, asked, forest, len(x), dims, 10) >= 0.9
+    compared = neighbours.search(unit, asked, forest, len(x), dims, 11).groupBy("q").agg(F.sum("compared").alias("c")).collect()
+    assert len(compared) == 1000 and max(r.c for r in compared) <= 2000
+
+
+def test_no_query_is_compared_with_more_than_the_bound(spark):
+    x = np.random.default_rng(1).standard_normal((4000, 32)).astype(np.float32)
+    unit, dims = neighbours._prepared(vectors(spark, x))
+    forest = neighbours.grow(unit, 4000, dims, 3, 16)
+    neighbours.calibrate(unit, unit, forest, 4000, dims, 10, max_compared=700)
+    compared = neighbours.search(unit, unit, forest, 4000, dims, 11).groupBy("q").agg(F.sum("compared").alias("c")).collect()
+    assert len(compared) == 4000 and max(r.c for r in compared) <= 750
+
+
+def test_every_vector_as_query(spark):
+    x = clustered(2000, 24, 40)
+    assert recall(neighbours.nearest_neighbours(vectors(spark, x), leaf=8).collect(), true_neighbours(x, np.arange(2000)), np.arange(2000)) >= 0.9
+
+
+def test_splits_below_the_sample(spark):
+    """Levels that the sample is too small for are split cell by cell, and even."""
+    unit, dims = neighbours._prepared(vectors(spark, clustered(6000, 16, 60)))
+    forest = neighbours.grow(unit, 6000, dims, 2, 16, sample_rows=500)
+    leaves = forest.leaves(np.vstack([np.frombuffer(r.unit, "<f4") for r in unit.collect()]))
+    assert forest.depth == 9 and all(np.bincount(leaves[:, t], minlength=512).max() <= 40 for t in range(2))
+
+
+@pytest.mark.parametrize("probes", [3, 7, 40, 384])
+def test_visits_against_a_plain_queue(probes):
+    rng, trees, depth = np.random.default_rng(4), 3, 7
+    splits = [[rng.standard_normal(1 << level).astype(np.float32) for level in range(depth)] for _ in range(trees)]
+    p = rng.standard_normal((20, trees, depth)).astype(np.float32)
+    got = neighbours.visit(p, splits, depth, probes)
+    for i in range(len(p)):
+        queue, out = [(np.float32(0), t, 0, 0) for t in range(trees)], []
+        while queue and len(out) < probes:
+            far, t, level, node = heapq.heappop(queue)
+            if level == depth:
+                out.append((far, (t << 40) | node))
+                continue
+            margin = p[i, t, level] - splits[t][level][node]
+            near = node * 2 + int(margin >= 0)
+            heapq.heappush(queue, (far, t, level + 1, near))
+            heapq.heappush(queue, (far + margin * margin, t, level + 1, near ^ 1))
+        assert {k for _, k in out} == set(got[i].tolist())
+
+
+def test_equal_vectors(spark):
+    """A third of all rows are one vector; ties go to the least ids, and no group is searched or listed whole."""
+    x = clustered(900, 8, 30)
+    x[::3] = x[0]
+    got = collections.defaultdict(list)
+    for r in sorted(neighbours.nearest_neighbours(vectors(spark, x), k=5).collect(), key=lambda r: r["rank"]):
+        got[r.vec_id].append((r.neighbour_id, r["rank"], r.similarity))
+    own = list(range(0, 900, 3))
+    for q in own:
+        assert [m for m, _, _ in got[q]] == [i for i in own[:6] if i != q][:5] and all(s == 1 for _, _, s in got[q])
+    assert set(got) == set(range(900)) and all([n for _, n, _ in v] == [1, 2, 3, 4, 5] for v in got.values())
+    one = neighbours.nearest_neighbours(vectors(spark, x), F.col("vec_id") == 3, k=5).collect()
+    assert sorted((r["rank"], r.neighbour_id) for r in one) == [(1, 0), (2, 6), (3, 9), (4, 12), (5, 15)]
 
 
 def test_vectors_that_are_none(spark):
     good = [(k, [float(k), 1.0, 2.0]) for k in range(5)]
-    rows = [*good, good[0], (10, None), (11, []), (12, [0.0, 0.0, 0.0]), (13, [1.0, float("nan"), 2.0]), (14, [1.0, 2.0]), (15, [1.0, None, 2.0]), (None, [1.0, 2.0, 3.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("key", F.lit(1)).withColumn("unit", F.lit(1))
+    rows = [*good, good[0], (10, None), (11, []), (12, [0.0, 0.0, 0.0]), (13, [1.0, float("nan"), 2.0]), (14, [1.0, 2.0]), (15, [1.0, None, 2.0]), (16, [1.0, float("inf"), 2.0]), (None, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for c in ("key", "unit", "rep", "content", "q", "m", "n", "near"):
+        df = df.withColumn(c, F.lit(1))
     got = neighbours.nearest_neighbours(df, k=3).collect()
     assert collections.Counter(r.vec_id for r in got) == {k: 3 for k in range(5)}
     assert neighbours.nearest_neighbours(df.limit(0)).count() == 0
@@ -237,15 +318,11 @@ def test_vectors_that_are_none(spark):
 
 
 def test_ties_go_to_the_least_ids():
-    n, k = 300, 5
-    x = np.zeros((2 * n, 4), np.float32)
-    x[:, 0] = 1
-    ids = np.tile(np.random.default_rng(5).permutation(n), 2)
-    got = collections.defaultdict(set)
-    for q, m, _ in neighbours._best(np.zeros(2 * n, np.int64), ids, np.arange(2 * n) >= n, x, k):
-        for a, b in zip(q, m):
-            got[a].add(b)
-    assert got == {i: set([j for j in range(k + 1) if j != i][:k]) for i in range(n)}
+    ids = np.random.default_rng(5).permutation(300)
+    sims = np.ones((4, 300), np.float32)
+    sims[1, ids == 250], sims[2, ids < 100] = 2, -np.inf
+    q, m = neighbours._top(sims, ids, 5)
+    assert [sorted(ids[m[q == i]].tolist()) for i in range(4)] == [[0, 1, 2, 3, 4], [0, 1, 2, 3, 250], [100, 101, 102, 103, 104], [0, 1, 2, 3, 4]]
 
 
 # 7 near-dedup
