@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import ensure_checkpoint_dir, mix64, read
-from ridgeline.llm.tokens import END_OF_TEXT, VOCABULARY, encoding
+from ridgeline.llm.tokens import VOCABULARY, encode, encoding, end_mark
 
 LENGTH = 1024
 RECORDS = 8192
 KEY = 0x5EED0FACE
 ROUNDS = 6
-#: doc_id, piece, number of tokens; then ``length`` ids of 16 bits, the rest filled with the end mark.
+#: doc_id, piece, number of tokens; then ``length`` ids of 16 bits (32 for a vocabulary that needs them), the rest filled with the end mark.
 HEADER = "<qii"
 HEADER_BYTES = struct.calcsize(HEADER)
 
@@ -56,8 +56,12 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def stride(length: int = LENGTH) -> int:
-    return HEADER_BYTES + 2 * length
+def id_bytes(vocabulary: str = VOCABULARY) -> int:
+    return 2 if end_mark(vocabulary) < 1 << 16 else 4
+
+
+def stride(length: int = LENGTH, vocabulary: str = VOCABULARY) -> int:
+    return HEADER_BYTES + id_bytes(vocabulary) * length
 
 
 def _cut_into(length: int, vocabulary: str):
@@ -65,17 +69,18 @@ def _cut_into(length: int, vocabulary: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoding(vocabulary), TaskContext.get().partitionId(), 0
+        end, width = end_mark(vocabulary), id_bytes(vocabulary)
         for batch in batches:
             ids, pieces, tokens = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = enc.encode_ordinary(text) if text else []
+                own = encode(enc, text) if text else []
                 if not own:
                     continue
-                raw = np.array([*own, END_OF_TEXT], dtype="<u2").tobytes()
-                for k in range(0, len(raw), 2 * length):
+                raw = np.array([*own, end], dtype=f"<u{width}").tobytes()
+                for k in range(0, len(raw), width * length):
                     ids.append(doc_id)
-                    pieces.append(k // (2 * length))
-                    tokens.append(raw[k : k + 2 * length])
+                    pieces.append(k // (width * length))
+                    tokens.append(raw[k : k + width * length])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * len(ids), pa.int64()), pa.array(range(at, at + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(pieces, pa.int32()), pa.array(tokens, pa.binary())],
                 schema=kinds,
@@ -86,7 +91,7 @@ def _cut_into(length: int, vocabulary: str):
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary: str = VOCABULARY) -> tuple[DataFrame, int]:
-    """How many sequences there are, and one row for each: slot, doc_id, piece, tokens (little-endian ids of 16 bits, without filling)."""
+    """How many sequences there are, and one row for each: slot, doc_id, piece, tokens (little-endian ids of ``id_bytes`` bytes, without filling)."""
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -108,13 +113,14 @@ def sequences(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary:
     return table.join(before, "part").select(slot(F.col("before") + F.col("at")).alias("slot"), "doc_id", "piece", "tokens"), total
 
 
-def _records(length: int, per_shard: int):
-    fill = np.full(length, END_OF_TEXT, dtype="<u2").tobytes()
+def _records(length: int, per_shard: int, vocabulary: str):
+    width, size = id_bytes(vocabulary), stride(length, vocabulary)
+    fill = np.full(length, end_mark(vocabulary), dtype=f"<u{width}").tobytes()
     kinds = pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("n_sequences", pa.int64()), ("stride", pa.int32()), ("payload", pa.large_binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard_row(shard: int, first: int, parts: list[bytes]) -> pa.RecordBatch:
-            columns = [pa.array([shard]), pa.array([first]), pa.array([len(parts)]), pa.array([stride(length)], pa.int32()), pa.array([b"".join(parts)], pa.binary())]
+            columns = [pa.array([shard]), pa.array([first]), pa.array([len(parts)]), pa.array([size], pa.int32()), pa.array([b"".join(parts)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=kinds.names)
 
         shard, first, parts = None, 0, []
@@ -124,7 +130,7 @@ def _records(length: int, per_shard: int):
                     if parts:
                         yield shard_row(shard, first, parts)
                     shard, first, parts = slot // per_shard, slot, []
-                parts.append(struct.pack(HEADER, -1 if doc_id is None else doc_id, piece, len(tokens) // 2) + tokens + fill[len(tokens) :])
+                parts.append(struct.pack(HEADER, -1 if doc_id is None else doc_id, piece, len(tokens) // width) + tokens + fill[len(tokens) :])
         if parts:
             yield shard_row(shard, first, parts)
 
@@ -137,7 +143,7 @@ def shards(docs: DataFrame, length: int = LENGTH, per_shard: int = RECORDS, key:
     The payload is the shard's file: n_sequences records of stride bytes by
     ascending slot, so slot s is at (s - first_slot) * stride of shard
     s // per_shard. All shards but the last have per_shard records. A null, empty
-    or tokenless text has no sequence; repeated rows are sequences each for itself; a null
+    or tokenless text has no sequence, a text of any length is encoded whole; repeated rows are sequences each for itself; a null
     doc_id is written as -1. Extra columns are ignored; an empty table gives no row.
     Which slot a sequence gets depends on the key, on N and on how the input is split into tasks.
     """
@@ -145,7 +151,7 @@ def shards(docs: DataFrame, length: int = LENGTH, per_shard: int = RECORDS, key:
     out = "shard long, first_slot long, n_sequences long, stride int, payload binary"
     ranges = max(1, math.ceil(total / per_shard))
     placed = own.repartitionById(ranges, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
-    return placed.mapInArrow(_records(length, per_shard), out)
+    return placed.mapInArrow(_records(length, per_shard, vocabulary), out)
 
 
 def shard_name(shard: int) -> str:
@@ -179,14 +185,18 @@ def write_shards(found: DataFrame, uri: str) -> DataFrame:
     return found.mapInArrow(run, "shard long, first_slot long, n_sequences long, stride int, n_bytes long, crc32 long")
 
 
-def read_slots(uri: str, start: int, count: int, length: int = LENGTH, per_shard: int = RECORDS) -> Iterator[tuple[int, int, np.ndarray]]:
+def read_slots(uri: str, start: int, count: int, length: int = LENGTH, per_shard: int = RECORDS, vocabulary: str = VOCABULARY) -> Iterator[tuple[int, int, np.ndarray]]:
     """(doc_id, piece, ids) of ``count`` slots from ``start`` on, read sequentially."""
     from pyarrow import fs
 
     files, root = fs.FileSystem.from_uri(uri)
-    size, slot = stride(length), start
+    # A shard missing before the last one is an error, not the end.
+    last = max((int(f.base_name[6:-4]) for f in files.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("shard-") and f.base_name.endswith(".bin")), default=-1)
+    size, slot, kind = stride(length, vocabulary), start, f"<u{id_bytes(vocabulary)}"
     while slot < start + count:
         shard, k = divmod(slot, per_shard)
+        if shard > last:
+            return
         with files.open_input_file(f"{root}/{shard_name(shard)}") as f:
             f.seek(k * size)
             while slot < start + count and slot // per_shard == shard:
@@ -194,7 +204,7 @@ def read_slots(uri: str, start: int, count: int, length: int = LENGTH, per_shard
                 if len(record) < size:
                     return
                 doc_id, piece, n = struct.unpack_from(HEADER, record)
-                yield doc_id, piece, np.frombuffer(record, dtype="<u2", count=n, offset=HEADER_BYTES)
+                yield doc_id, piece, np.frombuffer(record, dtype=kind, count=n, offset=HEADER_BYTES)
                 slot += 1
 
 

@@ -94,7 +94,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     """One row per packed piece: doc_id, piece, first_token, n_tokens, shard, sequence, place, cost.
 
     (shard, sequence) names a sequence; the pieces of one are ordered by place.
-    A null, empty or tokenless text has nothing to pack and gives no row. Repeated
+    A null, empty or tokenless text has nothing to pack and gives no row; a text of any
+    length, white space included, is counted and packed whole. Repeated
     rows are packed each for itself; null doc_ids stay null. Ties go by doc_id and
     piece. Extra columns are ignored.
     """
