@@ -1,13 +1,15 @@
 """What the text operators share: folding text to words, hashing.
 
-Text is folded one character at a time: compatibility decomposition, marks
-dropped, lower case, everything that is not a letter or digit becomes a space,
-and runs of spaces shrink to one. As every character is folded by itself, the
+Text is folded one character at a time: compatibility decomposition, marks and
+invisible format characters (soft hyphens, zero-width spaces) dropped, lower case,
+everything that is not a letter or digit becomes a space, and runs of spaces shrink
+to one. A character of a script written without spaces is a word of its own. As every character is folded by itself, the
 folded text can be traced back to the original character by character.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -25,24 +27,43 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Han, kana, Bopomofo, Thai, Lao, Myanmar and Khmer: ranges of code points of scripts written without spaces.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u3029\u3040-\u312f\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 @lru_cache(maxsize=200_000)
 def fold_char(c: str) -> str:
-    """What one character becomes; '' for a combining mark, ' ' for a separator."""
+    """What one character becomes; '' for a combining mark or a format character, ' ' for a separator."""
     out = []
     for d in unicodedata.normalize("NFKD", c):
-        if unicodedata.category(d)[0] == "M":
+        if unicodedata.category(d)[0] == "M" or unicodedata.category(d) == "Cf":
             continue
         for e in unicodedata.normalize("NFKD", d.lower()):
             if unicodedata.category(e)[0] != "M":
-                out.append(e if e.isalnum() else " ")
+                out.append((f" {e} " if _UNSPACED.match(e) else e) if e.isalnum() else " ")
     return "".join(out)
 
 
+class _Table(dict):
+    """A translation table that is filled as characters turn up."""
+
+    def __missing__(self, code: int) -> str:
+        out = self[code] = fold_char(chr(code))
+        return out
+
+
+#: Bounded by the number of Unicode characters.
+_FOLDED = _Table({c: chr(c) for c in range(128)})
+
+
 def fold(text: str) -> str:
     """Folded words of a text, joined by single spaces; '' if it has no word."""
     if not text.isascii():
-        for c in set(text):
-            if c > "\x7f":
+        others = [c for c in set(text) if c > "\x7f"]
+        if len(others) > 40:
+            text = text.translate(_FOLDED)
+        else:
+            for c in others:
                 text = text.replace(c, fold_char(c))
     return " ".join(text.encode("utf-8", "replace").translate(_ASCII).decode("utf-8").split())
 

@@ -1,9 +1,10 @@
 """Toxicity from a weighted lexicon, matched by Aho-Corasick over folded text.
 
-Folding undoes disguises: marks are dropped, letters of other scripts that look
-Latin become Latin, digits and signs inside a word become the letters they stand
-for, and i, l and 1 are one letter. A term counts where it stands as a word and
-not inside an exception phrase. A text's score is the sum of the weights of its
+Folding undoes disguises: marks and invisible characters are dropped, letters of other scripts
+that look Latin become Latin, digits and signs inside a word become the letters they stand
+for, i, l and 1 are one letter, letters set apart (i d i o t) are put together, and a letter three times or more
+in a row counts as one or as two. A term counts where it stands as a word, not inside an exception phrase, and not
+in a language in which it is an ordinary word. A text's score is the sum of the weights of its
 matches for every hundred words.
 
 The lexicon has two parts: terms listed here, and terms learned from the labelled
@@ -43,14 +44,19 @@ EXCEPTIONS: tuple[str, ...] = (
     "circus clown", "pond scum", "algae scum", "soap scum", "stupid simple", "keep it simple stupid", "moron prefecture",
     "jerk chicken", "jerk seasoning", "degenerate matter", "degenerate orbitals", "pathetic fallacy", "worthless security deduction",
     "idiot proof", "sore loser rule", "shit happens", "retard timing", "fire retarded", "hot mess",
+    *(f"{word} retard" for word in ("le", "un", "du", "de", "en", "ce", "son", "mon", "notre", "leur", "sans", "quelque", "aucun", "gros", "grand", "leger", "tout")),
+    *(f"retard {word}" for word in ("de", "du", "des", "dans", "sur", "scolaire", "mental")),
 )
+#: Terms that are ordinary words in a language, by the code in ``lang``.
+ORDINARY: dict[str, tuple[str, ...]] = {"fr": ("retard",), "de": (), "es": ()}
 MAX_TOXIC, MAX_CLEAN = 5_000, 20_000
 MIN_TOXIC_DOCS, MIN_TOXIC_SHARE, MIN_LOG_ODDS = 8, 0.0125, 3.5
 THRESHOLD = 1.5
 
+#: Cyrillic, Greek, other Latin, small capitals, Armenian.
 _LOOKALIKE = str.maketrans(
-    "авеёкмнорстухіїјѕԁԛαβεηικνορτυχωıłøđɡð",
-    "abeekmhopctyxiijsdqabenikvoptuxwiiodgd",
+    "авеёкмнорстухіїјѕԁԛԝһӏҽԍѵѡ" + "αβεηικνορτυχωγμ" + "ıłøđɡðɑɩ" + "ɪʟʀɴʙᴄᴅᴇꜰɢʜᴊᴋᴍᴏᴘꜱᴛᴜᴠᴡʏᴢ" + "օսոհցզ",
+    "abeekmhopctyxiijsdqwhlegvw" + "abenikvoptuxwyu" + "ilodgdai" + "ilrnbcdefghjkmopstuvwyz" + "ounhgq",
 )
 _DIGITS = str.maketrans("0134578", "oieastb")
 _L = str.maketrans("l", "i")
@@ -59,47 +65,82 @@ _INNER_SIGN = re.compile(r"(?<=\w)[@$!€|]+(?=\w)|[@$](?=[^\W\d_])")
 _DIGIT_WORD = re.compile(r"\b(?=[a-z0-9]*[a-z])(?=[a-z0-9]*[0-9])[a-z0-9]+\b")
 
 
-def disguise_folded(text: str) -> str:
-    """Folded words with lookalikes and digit substitutions undone, i for l and 1; numbers stay."""
+#: Three letters or more that stand by themselves.
+_APART = re.compile(r"(?<![^ ])[a-z](?: [a-z](?![^ ])){2,}+")
+_THRICE = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
+_RUN = re.compile(r"([a-z])\1\1+")
+
+
+def _folded(text: str) -> tuple[str, int]:
+    """What is scanned of a text, and how many words the text has."""
     if _INNER_SIGN.search(text):
         text = _INNER_SIGN.sub(lambda m: "".join(_SIGNS[c] for c in m[0]), text)
     out = fold(text)
+    if not out:
+        return "", 0
+    words = out.count(" ") + 1
     if not out.isascii():
         out = out.translate(_LOOKALIKE)
     if any(d in out for d in "0134578"):
         out = _DIGIT_WORD.sub(lambda m: m[0].translate(_DIGITS), out)
-    return out.translate(_L) if out.isascii() else out.replace("l", "i")
+    out = out.translate(_L) if out.isascii() else out.replace("l", "i")
+    out = _APART.sub(lambda m: m[0].replace(" ", ""), out)
+    if any(t in out for t in _THRICE):
+        out = " ".join(f"{_RUN.sub(r'\1\1', w)} {_RUN.sub(r'\1', w)}" if _RUN.search(w) else w for w in out.split(" "))
+    return out, words
+
+
+def disguise_folded(text: str) -> str:
+    """Folded words with lookalikes and digit substitutions undone, i for l and 1, letters set apart put together; numbers stay."""
+    return _folded(text)[0]
 
 
-def build(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> ahocorasick.Automaton:
-    """Patterns with a space on either side; an exception phrase has weight None."""
+def build(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, ordinary: dict[str, tuple[str, ...]] = ORDINARY) -> ahocorasick.Automaton:
+    """Patterns with a space on either side and (length, weight, languages in which it is no abuse); an exception phrase has weight None."""
     a = ahocorasick.Automaton()
     weights: dict[str, float] = {}
     for term, w in lexicon.items():
         key = f" {disguise_folded(term)} "
         weights[key] = max(w, weights.get(key, 0))
+    spared: dict[str, list[str]] = {}
+    for lang, terms in ordinary.items():
+        for term in terms:
+            spared.setdefault(f" {disguise_folded(term)} ", []).append(lang)
     for key, w in weights.items():
         if key.strip():
-            a.add_word(key, (len(key), w))
+            a.add_word(key, (len(key), w, tuple(spared.get(key, ()))))
     for phrase in exceptions:
         key = f" {disguise_folded(phrase)} "
         if key.strip():
-            a.add_word(key, (len(key), None))
+            a.add_word(key, (len(key), None, ()))
     a.make_automaton()
     return a
 
 
-def score_text(automaton: ahocorasick.Automaton, text: str | None) -> tuple[float, int]:
+def score_text(automaton: ahocorasick.Automaton, text: str | None, lang: str | None = None) -> tuple[float, int]:
     """(score, matches) of one text; (0, 0) for a null or wordless one."""
-    folded = disguise_folded(text) if text else ""
+    folded, words = _folded(text) if text else ("", 0)
     if not folded:
         return 0.0, 0
     hits, safe = [], []
-    for end, (n, w) in automaton.iter(f" {folded} "):
-        (safe if w is None else hits).append((end - n + 1, end, w))
-    if safe:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in safe)]
-    return sum(h[2] for h in hits) / (folded.count(" ") + 1) * 100, len(hits)
+    for end, (n, w, spared) in automaton.iter(f" {folded} "):
+        if w is None:
+            safe.append((end - n + 1, end))
+        elif lang not in spared:
+            hits.append((end - n + 1, end, w))
+    if safe and hits:
+        # One sweep by start: a hit is covered if some phrase that began before it ends after it.
+        safe.sort()
+        hits.sort()
+        kept, k, reach = [], 0, -1
+        for hit in hits:
+            while k < len(safe) and safe[k][0] <= hit[0]:
+                reach = max(reach, safe[k][1])
+                k += 1
+            if hit[1] > reach:
+                kept.append(hit)
+        hits = kept
+    return sum(h[2] for h in hits) / words * 100, len(hits)
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,27 +194,32 @@ def _built(terms: tuple[dict[str, float], tuple[str, ...]]) -> ahocorasick.Autom
     return _BUILT[id(terms)][1]
 
 
-def score_column(spark: SparkSession, lexicon: dict[str, float], text: Column, exceptions: tuple[str, ...] = EXCEPTIONS) -> Column:
+def score_column(spark: SparkSession, lexicon: dict[str, float], text: Column, lang: Column | None = None, exceptions: tuple[str, ...] = EXCEPTIONS) -> Column:
     shared = spark.sparkContext.broadcast((lexicon, exceptions))
 
     @F.arrow_udf(_SCORE)
-    def score(texts: pa.Array) -> pa.Array:
+    def score(texts: pa.Array, langs: pa.Array) -> pa.Array:
         automaton = _built(shared.value)
-        found = [score_text(automaton, t) for t in texts.to_pylist()]
+        found = [score_text(automaton, t, g) for t, g in zip(texts.to_pylist(), langs.to_pylist())]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32())], names=["score", "matches"])
 
-    return score(text.cast("string"))
+    return score(text.cast("string"), (F.lit(None) if lang is None else lang).cast("string"))
+
+
+def _scored(docs: DataFrame, terms: dict[str, float]) -> Column:
+    return score_column(docs.sparkSession, terms, F.col("text"), F.col("lang") if "lang" in docs.columns else None)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD, lexicon: dict[str, float] | None = None) -> DataFrame:
     """One row per document row: doc_id, score, toxic.
 
     toxic is true where the score reaches the threshold. A null, empty or
-    wordless text scores 0. Repeated rows repeat their result, a null doc_id
-    stays null, extra columns are ignored.
+    wordless text scores 0; texts of any length are scanned whole. A column ``lang``, if there is one,
+    spares words that are ordinary in that language. Repeated rows repeat their result, a null doc_id
+    stays null, extra columns are ignored; an empty table gives no row.
     """
     terms = _lexicon(docs, labels, lexicon)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_column(docs.sparkSession, terms, F.col("text")).alias("s"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _scored(docs, terms).alias("s"))
     return own.select("doc_id", F.col("s.score").alias("score"), (F.col("s.score") >= threshold).alias("toxic"))
 
 
@@ -185,9 +231,12 @@ def _lexicon(docs: DataFrame, labels: DataFrame | None, lexicon: dict[str, float
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD, lexicon: dict[str, float] | None = None) -> DataFrame:
-    """The document rows below the threshold, columns as they were; no shuffle."""
-    terms = _lexicon(docs, labels, lexicon)
-    return docs.where(score_column(docs.sparkSession, terms, F.col("text"))["score"] < threshold)
+    """The document rows below the threshold, columns as they were; no shuffle.
+
+    Rows stay or go each for itself, so repeated rows all stay or all go; rows with a null, empty or wordless text
+    stay, as do those with a null doc_id. Of an empty table nothing is left. Extra columns of any name are kept.
+    """
+    return docs.where(_scored(docs, _lexicon(docs, labels, lexicon))["score"] < threshold)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
