@@ -1,14 +1,15 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Test items are folded to words (see ``common.fold``) and cut into windows of 13
-words; an item of 5 to 13 words is one window. All windows form one automaton,
-built once in each Python worker, and every text is folded and scanned once,
-whole. Only a text with a match is folded again character by character, to give
+words; an item of 5 to 13 words is one window. A shorter item, such as an answer of one word, occurs by
+chance in texts about anything, so it counts only where it is a text's words from first to last.
+All windows form one automaton, built once in each Python worker, and every text is folded and
+scanned once, whole. Only a text with a match is folded again character by character, to give
 offsets in the original.
 
 The automaton grows with the benchmark, not with the documents. What is
-broadcast is measured first: beyond ``max_pattern_chars`` the items are split
-into as many automata as it takes, and each scans the texts.
+broadcast is measured first: beyond ``max_pattern_chars`` the items are split by item_id
+into as many automata as it takes, and each scans the texts; the rows are the same.
 """
 
 from __future__ import annotations
@@ -40,15 +41,22 @@ def windows(text: str | None, size: int = WINDOW, least: int = MIN_WORDS) -> lis
 
 
 def build(items: list[tuple[int, str]], size: int = WINDOW, least: int = MIN_WORDS) -> ahocorasick.Automaton | None:
-    owners: dict[str, list[int]] = {}
+    """Patterns with a space on either side and (length, item_ids, whether the text must be no more than it)."""
+    owners: dict[str, set[int]] = {}
+    short: dict[str, set[int]] = {}
     for item_id, text in items:
-        for w in windows(text, size, least):
-            owners.setdefault(f" {w} ", []).append(item_id)
-    if not owners:
+        found = windows(text, size, least)
+        for w in found:
+            owners.setdefault(f" {w} ", set()).add(item_id)
+        if not found and (whole := fold(text)):
+            short.setdefault(f" {whole} ", set()).add(item_id)
+    if not owners and not short:
         return None
     a = ahocorasick.Automaton()
-    for pattern, ids in owners.items():
-        a.add_word(pattern, (len(pattern), tuple(sorted(set(ids)))))
+    # Short items have fewer words than any window, so no pattern is both.
+    for patterns, whole in ((owners, False), (short, True)):
+        for pattern, ids in patterns.items():
+            a.add_word(pattern, (len(pattern), tuple(sorted(ids)), whole))
     a.make_automaton()
     return a
 
@@ -57,16 +65,17 @@ def spans(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, i
     """(item_id, start, end) in the original text; windows of an item that overlap or touch are one span."""
     folded = fold(text)
     found: dict[int, list[list[int]]] = {}
-    for end, (n, ids) in automaton.iter(f" {folded} "):
+    for end, (n, ids, whole) in automaton.iter(f" {folded} "):
+        if whole and n != len(folded) + 2:
+            continue
         # The pattern's outer spaces aren't part of the match; the text got one space before it.
         start, stop = end - n + 1, end - 1
         for item in ids:
-            own = found.setdefault(item, [])
-            if own and start <= own[-1][1] + 1:
-                own[-1][0] = min(own[-1][0], start)
-                own[-1][1] = max(own[-1][1], stop)
-            else:
-                own.append([start, stop])
+            own, first, last = found.setdefault(item, []), start, stop
+            while own and first <= own[-1][1] + 1:
+                a, b = own.pop()
+                first, last = min(first, a), max(last, b)
+            own.append([first, last])
     if not found:
         return []
     again, at = fold_with_offsets(text)
@@ -103,11 +112,11 @@ def span_columns(
     """Columns of spans, one for each automaton."""
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
     # A window repeats in its neighbours: the automaton holds about `window` times the items' text.
-    chars = (items.agg(F.sum(F.length("t"))).first()[0] or 0) * window
-    parts = max(1, math.ceil(chars / max_pattern_chars))
+    sizes = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars"), F.countDistinct("i").alias("ids")).first()
+    parts = max(1, min(sizes.ids, math.ceil(sizes.chars * window / max_pattern_chars)))
     out = []
     for k in range(parts):
-        own = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).distinct().orderBy("i", "t").collect()]
+        own = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).distinct().orderBy("i", "t").collect()]
         out.append(_scanner(spark.sparkContext.broadcast(own), window, min_words)(text))
     return out
 
@@ -117,10 +126,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
     Offsets count characters of the original text, end exclusive. Windows of one
     item that overlap are one stretch; a text in which an item occurs again gets
-    a row for each. Null or empty texts and items have no match; an item of fewer
-    than ``min_words`` words is too common to be evidence and is not scanned for;
+    a row for each. Null, empty or wordless texts and items have no match, nor has an item without
+    an id; an item of fewer than ``min_words`` words matches a text of just its words;
     items that share an id are scanned for as one. Repeated rows repeat their
-    result; a null doc_id stays null. Extra columns are ignored.
+    result; a null doc_id stays null. Texts are scanned whole, extra columns ignored; an empty table of either kind gives no row.
     """
     text = F.col("text").cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -130,7 +139,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The document rows without a stretch of a test item, columns as they were; no shuffle."""
+    """The document rows without a stretch of a test item (see ``contamination``), columns as they were; no shuffle.
+
+    Rows stay or go each for itself, so repeated rows all stay or all go; rows with a null, empty or wordless text
+    stay, as do clean ones with a null doc_id. Without test items all rows stay. Extra columns of any name are kept.
+    """
     cols = span_columns(docs.sparkSession, benchmark, F.col("text").cast("string"), **options)
     for c in cols:
         docs = docs.where(F.size(c) == 0)

@@ -274,6 +274,33 @@ def test_spans_against_brute_force(spark):
     assert kept == {d for d, _ in rows} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("chars", [1, 300, 3000])
+def test_the_number_of_automata_changes_no_row(spark, chars):
+    """Two texts of one item that overlap in a document are one stretch, wherever their windows were scanned for."""
+    words = prose(77, 40).split()
+    bench = spark.createDataFrame([(1, " ".join(words[:25])), (1, " ".join(words[12:40])), (2, " ".join(words[5:20])), (3, prose(4, 30)), (4, "short answer")], "item_id long, text string")
+    rows = [(1, "x " + " ".join(words) + " y"), (2, "Short, answer!"), (3, "a short answer"), (4, prose(4, 30) + " " + " ".join(words[:13]))]
+    want = sorted(map(tuple, decontaminate.contamination(docs(spark, rows), bench).collect()))
+    assert [r[:2] for r in want] == [(1, 1), (1, 2), (2, 4), (4, 1), (4, 3)] and want[0][2:] == (2, 2 + len(" ".join(words)))
+    assert sorted(map(tuple, decontaminate.contamination(docs(spark, rows), bench, max_pattern_chars=chars).collect())) == want
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs(spark, rows), bench, max_pattern_chars=chars).collect()} == {3}
+
+
+def test_scripts_without_spaces(spark):
+    item = "敏捷的棕色狐狸跳过了一只懒惰的狗然后跑进森林"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"今天我看到{item}，真的。"), (2, "今天我看到一只懒惰的狗"), (3, "the " + item[:6] + "\u200b" + item[6:14])]
+    got = decontaminate.contamination(docs(spark, rows), bench).collect()
+    assert sorted((r.doc_id, rows[r.doc_id - 1][1][r.start_char : r.end_char]) for r in got) == [(1, item), (3, item[:6] + "\u200b" + item[6:14])]
+
+
+@pytest.mark.parametrize("part", ["word1 ", "a", " ", "é", "中"])
+def test_scans_take_linear_time(part):
+    a, began = decontaminate.build([(1, part * 13), (2, prose(1))]), time.process_time()
+    found = decontaminate.spans(a, part * (1_000_000 // len(part))) if a else []
+    assert time.process_time() - began < 20 and len(found) <= 1
+
+
 def test_decontamination_of_odd_input(spark):
     bench = spark.createDataFrame([(1, prose(2))], "item_id long, text string").withColumn("i", F.lit(1))
     assert [r.doc_id for r in decontaminate.contamination(odd(spark), bench).collect()] == [106, 106]
