@@ -12,7 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm.common import ensure_checkpoint_dir, read
+from ridgeline.checkpoints import remove, scratch
+from ridgeline.llm.common import read
 from ridgeline.llm.decontaminate import drop_contaminated
 from ridgeline.llm.near_dedup import keep_one_of_each
 from ridgeline.llm.packing import pack
@@ -21,27 +22,27 @@ from ridgeline.llm.toxicity import drop_toxic
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8; the lexicon learns from the labelled documents."""
+    """Operator 8: rows that score below the threshold, columns as they were (see ``drop_toxic``); rows without text stay. The lexicon learns from the labelled documents."""
     return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7."""
+    """Operator 7: one row of each group of near duplicates, columns as they were (see ``keep_one_of_each``); rows without doc_id stay."""
     return keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5."""
+    """Operator 5: rows without a passage of the benchmark, columns as they were (see ``drop_contaminated``); rows without text stay."""
     return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10; documents stay, their live-looking secrets go."""
+    """Operator 10: every row, with live-looking secrets replaced and n_chars brought up to date (see ``redact_secrets``)."""
     return redact_secrets(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2."""
+    """Operator 2: one row per piece of a document in a sequence (see ``pack``); rows without text have none."""
     return pack(docs)
 
 
@@ -58,11 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; tables in between go to the shared folder."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``; tables in between go to the shared folder and are removed once the next one is written."""
+    folder = scratch(spark, "pipeline")
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
