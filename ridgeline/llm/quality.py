@@ -27,8 +27,10 @@ from ridgeline.llm.common import chunks_by_size, cut, read
 
 MAX_LABELLED = 10_000
 STEPS, RATE, L2 = 400, 0.5, 1e-3
-#: Odds of a site move a document's log odds by at most this.
-MAX_SHIFT = 2.0
+#: A prior weighs at most so many documents.
+MAX_STRENGTH = 10_000.0
+#: Rates are held this far from 0 and 1 where odds are taken of them.
+EDGE = 0.001
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 other
 for _c in range(256):
@@ -123,25 +125,19 @@ def _evidence(weights: np.ndarray):
     return evidence
 
 
-def prior_strength(n: np.ndarray, total: np.ndarray, mean: float) -> float:
-    """How many documents a group's prior weighs, by the method of moments; between 1 and 10,000."""
-    if len(n) < 2 or not 0 < mean < 1:
-        return 10_000.0
-    spread = float((n * (total / n - mean) ** 2).sum() / n.sum())
-    within = mean * (1 - mean)
-    noise = within * len(n) / float(n.sum())
-    between = max(spread - noise, 1e-9)
-    return float(min(10_000.0, max(1.0, within / between - 1)))
-
-
 def _strength(groups: DataFrame, mean: float) -> float:
-    """The same, from grouped sums in Spark, so that no group reaches the driver."""
+    """How many documents a group's prior weighs, by the method of moments, from grouped sums in Spark.
+
+    The variance of rates between groups is what their spread about the prior has beyond the noise of mean * (1 - mean) a document;
+    the strength is mean * (1 - mean) over it, less one. It is between 1 and MAX_STRENGTH, which also
+    stands for rates that don't vary beyond noise and for fewer than two groups.
+    """
     r = groups.agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("total") / F.col("n") - F.col("prior"), 2)).alias("s")).first()
     if not r.n or r.g < 2 or not 0 < mean < 1:
-        return 10_000.0
+        return MAX_STRENGTH
     within = mean * (1 - mean)
     between = max(r.s / r.n - within * r.g / r.n, 1e-9)
-    return min(10_000.0, max(1.0, within / between - 1))
+    return min(MAX_STRENGTH, max(1.0, within / between - 1))
 
 
 def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5) -> DataFrame:
@@ -149,11 +145,13 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
 
     A null or empty text has no evidence: its evidence is null, its probability
     its site's rate, and it is not kept. A null host or path counts as one group
-    of its own. Without labels of both classes all evidence is 0. Repeated rows
-    count each for itself, a null doc_id stays null, extra columns are ignored.
+    of its own, as does a column ``source`` or ``lang`` that isn't there. Without labels of both classes all evidence
+    is 0. A probability that equals the threshold is kept. Texts are read whole. Repeated rows
+    count each for itself, a null doc_id stays null, extra columns are ignored; an empty table gives no row.
     """
-    host = F.col("source") if host is None else host
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if path is None else path
+    source, lang = (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in ("source", "lang"))
+    host = source if host is None else host
+    path = F.concat_ws("/", source, lang) if path is None else path
     weights = train(docs, labels)
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -166,7 +164,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
     paths = cut(own.groupBy("host", "path").agg(F.count("p").alias("n"), F.round(F.coalesce(F.sum("p"), F.lit(0.0)), 6).alias("total")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     r = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total")).first()
-    mean = min(0.999, max(0.001, r.total / r.n)) if r.n else 0.5
+    mean = min(1 - EDGE, max(EDGE, r.total / r.n)) if r.n else 0.5
     a = _strength(hosts.where("n > 0").withColumn("prior", F.lit(mean)), mean)
     rated = hosts.withColumn("host_rate", (F.col("total") + a * mean) / (F.col("n") + a)).select("host", "host_rate")
     under = cut(paths.join(rated, "host"))
@@ -174,8 +172,8 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
     rest = F.greatest(F.col("n") - F.when(F.col("p").isNotNull(), 1).otherwise(0), F.lit(0))
     site = F.round((F.greatest(F.col("total") - F.coalesce("p", F.lit(0.0)), F.lit(0.0)) + b * F.col("host_rate")) / (rest + b), 6)
     odds = lambda c: F.log(c / (1 - c))
-    clipped = F.least(F.greatest(F.col("site_rate"), F.lit(0.001)), F.lit(0.999))
-    shift = F.least(F.greatest(odds(clipped) - float(np.log(mean / (1 - mean))), F.lit(-MAX_SHIFT)), F.lit(MAX_SHIFT))
+    clipped = F.least(F.greatest(F.col("site_rate"), F.lit(EDGE)), F.lit(1 - EDGE))
+    shift = odds(clipped) - float(np.log(mean / (1 - mean)))
     out = own.join(under, ["host", "path"]).withColumn("site_rate", site)
     out = out.withColumn("probability", F.round(F.when(F.col("evidence").isNull(), F.col("site_rate")).otherwise(1 / (1 + F.exp(-(F.col("evidence") + shift)))), 6))
     keep = F.col("evidence").isNotNull() & (F.col("probability") >= threshold)
