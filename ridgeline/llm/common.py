@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.checkpoints import cut, ensure_checkpoint_dir  # noqa: F401
+from ridgeline.checkpoints import cut  # noqa: F401
 
 _ASCII = bytes(
     (b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() else 32) if b < 128 else b for b in range(256)

@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import ensure_checkpoint_dir, mix64, read
+from ridgeline.checkpoints import scratch
+from ridgeline.llm.common import mix64, read
 from ridgeline.llm.tokens import VOCABULARY, encode, encoding, end_mark
 
 LENGTH = 1024
@@ -93,7 +94,7 @@ def _cut_into(length: int, vocabulary: str):
 def sequences(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary: str = VOCABULARY) -> tuple[DataFrame, int]:
     """How many sequences there are, and one row for each: slot, doc_id, piece, tokens (little-endian ids of ``id_bytes`` bytes, without filling)."""
     spark = docs.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = scratch(spark, "tokens")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own.mapInArrow(_cut_into(length, vocabulary), "part long, at long, doc_id long, piece int, tokens binary").write.option("compression", "zstd").parquet(folder)
     table = spark.read.parquet(folder)

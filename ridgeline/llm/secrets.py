@@ -87,6 +87,13 @@ def _judged(docs: DataFrame, owner: Column | None, repository: Column | None) ->
     return found.join(spread, "value").withColumn("verdict", verdict)
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def secret_scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
     """One row per document and candidate value: doc_id, kind, secret_hash, occurrences, n_repositories, n_owners, verdict.
 
@@ -94,33 +101,36 @@ def secret_scan(docs: DataFrame, owner: Column | None = None, repository: Column
     "placeholder" (too few different characters, or a made-up word in it) or
     "live". Values appear only as SHA-256. Rows that repeat a doc_id, owner and
     repository add up their occurrences; null doc_ids of one repository count as
-    one document. Null or empty texts have no candidate. Extra columns are ignored.
+    one document. Null or empty texts have no candidate; texts of any length are searched whole.
+    Extra columns are ignored; an empty table gives no row.
     """
     return _judged(docs, owner, repository).select("doc_id", _kind(F.col("value")).alias("kind"), F.sha2("value", 256).alias("secret_hash"), "occurrences", "n_repositories", "n_owners", "verdict")
 
 
 def redact_secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every live-looking value replaced, n_chars brought up to date; other columns as they were.
+    """The documents with every live-looking value replaced, n_chars brought up to date; other columns as they were, whatever their names.
 
-    Every row of ``docs`` stays. A row without a doc_id can't be joined with the
+    Every row of ``docs`` stays, repeated ones too; null, empty and clean texts stay as they are, and texts
+    of any length are searched whole. A row without a doc_id can't be joined with the
     corpus counts: there every varied value that is no placeholder is replaced.
     """
     live = _judged(docs, owner, repository).where("verdict = 'live' and doc_id is not null")
-    live = live.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("value").alias("__values"))
-    joined = docs.join(live, docs["doc_id"].cast("long") == live["__doc"], "left")
+    names = [_fresh(docs, c) for c in ("live_doc", "live_values", "new_text")]
+    live = live.groupBy(F.col("doc_id").alias(names[0])).agg(F.collect_set("value").alias(names[1]))
+    joined = docs.join(live, docs["doc_id"].cast("long") == live[names[0]], "left")
     # Longer values first, so that a value within another leaves nothing of it.
     order = lambda a: F.array_sort(a, lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
     local = F.filter(_values(F.col("text").cast("string")), _looks_live)
-    values = F.when(F.col("doc_id").isNull(), local).otherwise(F.coalesce(F.col("__values"), F.array().cast("array<string>")))
+    values = F.when(F.col("doc_id").isNull(), local).otherwise(F.coalesce(F.col(names[1]), F.array().cast("array<string>")))
     text = F.when(F.size(values) > 0, F.aggregate(order(values), F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))).otherwise(F.col("text"))
-    out = joined.withColumn("__new", text)
+    out = joined.withColumn(names[2], text)
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("__new").alias("text"))
+            columns.append(F.col(names[2]).alias("text"))
         elif c == "n_chars":
-            changed = F.col("text").isNotNull() & (F.col("__new") != F.col("text"))
-            columns.append(F.when(changed, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
+            changed = F.col("text").isNotNull() & (F.col(names[2]) != F.col("text"))
+            columns.append(F.when(changed, F.length(names[2]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
         else:
             columns.append(F.col(f"`{c}`"))
     return out.select(*columns)

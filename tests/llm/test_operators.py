@@ -5,6 +5,7 @@ import glob
 import hashlib
 import heapq
 import random
+import re
 import time
 
 import numpy as np
@@ -628,22 +629,61 @@ def test_quality_on_labels_held_out(spark):
     assert np.mean([g > b for g in good for b in bad]) >= 0.85
 
 
+def plain_strength(groups, mean):
+    """groups: (documents, sum of probabilities, prior)."""
+    if len(groups) < 2:
+        return quality.MAX_STRENGTH
+    n = sum(g[0] for g in groups)
+    spread = sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups) / n
+    between = max(spread - mean * (1 - mean) * len(groups) / n, 1e-9)
+    return min(quality.MAX_STRENGTH, max(1.0, mean * (1 - mean) / between - 1))
+
+
 def test_shrinkage_against_plain_code(spark):
+    """Hosts and paths of unlike rates and sizes: site rates and probabilities to six places."""
     rng = random.Random(8)
-    rows = [(k, prose(k, 20), "en", f"h{rng.randrange(4)}", 1) for k in range(60)]
+    rows = []
+    for k in range(400):
+        h = rng.choices(range(7), [40, 20, 10, 5, 3, 2, 1])[0]
+        lang = rng.choice(["en", "de", None])
+        good = rng.random() < (0.9, 0.1, 0.5, 0.8, 0.2, 1.0, 0.6)[h] * (0.3 if lang == "de" else 1)
+        text = prose(k, 30) + "." if good else "|| 99 !! " * 12 + prose(k, 4)
+        rows.append((k, None if k % 50 == 7 else text, lang, None if h == 6 else f"h{h}", 1))
     df = spark.createDataFrame(rows, DOCS)
-    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
-    got = quality.quality(df, labels).collect()
-    p = {r.doc_id: 1 / (1 + np.exp(-r.evidence)) for r in got}
-    host = {r[0]: r[3] for r in rows}
-    n = collections.Counter(host.values())
-    total = {h: sum(p[k] for k in p if host[k] == h) for h in n}
-    mean = sum(total.values()) / 60
-    hosts = sorted(n)
-    a = quality.prior_strength(np.array([n[h] for h in hosts]), np.array([total[h] for h in hosts]), mean)
-    rate = {h: (total[h] + a * mean) / (n[h] + a) for h in hosts}
-    assert all(0 < r.site_rate < 1 for r in got)
-    assert all(abs(r.site_rate - rate[host[r.doc_id]]) < 0.1 for r in got)
+    labels = spark.createDataFrame([(k, int(not (t or "").startswith("|")), 0) for k, t, *_ in rows if k % 2], "doc_id long, quality int, toxic int")
+    weights = quality.train(df, labels)
+    p, host, path = {}, {}, {}
+    for k, t, lang, source, _ in rows:
+        host[k], path[k] = source or "", (source or "", lang or "")
+        if t:
+            e = float(np.clip(quality.features([t])[0] @ weights[:-1] + weights[-1], -12, 12))
+            p[k] = (e, 1 / (1 + np.exp(-e)))
+    of = lambda names: {g: [v[1] for k, v in p.items() if names[k] == g] for g in set(names.values())}
+    hosts, paths = of(host), of(path)
+    mean = sum(v for _, v in p.values()) / len(p)
+    a = plain_strength([(len(v), sum(v), mean) for v in hosts.values() if v], mean)
+    host_rate = {h: (sum(v) + a * mean) / (len(v) + a) for h, v in hosts.items()}
+    b = plain_strength([(len(v), sum(v), host_rate[g[0]]) for g, v in paths.items() if v], mean)
+    assert 1 < a < 100 and 1 < b < quality.MAX_STRENGTH and max(host_rate.values()) - min(host_rate.values()) > 0.4
+    got = {r.doc_id: r for r in quality.quality(df, labels).collect()}
+    assert set(got) == set(host)
+    for k, r in got.items():
+        own = paths[path[k]]
+        n, total = (len(own) - 1, sum(own) - p[k][1]) if k in p else (len(own), sum(own))
+        rate = (total + b * host_rate[host[k]]) / (n + b)
+        assert abs(r.site_rate - rate) < 2e-6
+        if k in p:
+            clipped = min(0.999, max(0.001, rate))
+            want = 1 / (1 + np.exp(-(p[k][0] + np.log(clipped / (1 - clipped)) - np.log(mean / (1 - mean)))))
+            assert abs(r.evidence - p[k][0]) < 2e-6 and abs(r.probability - want) < 1e-5 and r.keep == (r.probability >= 0.5)
+        else:
+            assert r.evidence is None and not r.keep and r.probability == r.site_rate
+
+
+def test_quality_without_addresses(spark):
+    df = docs(spark, [(k, prose(k)) for k in range(6)]).drop("source", "lang")
+    got = quality.quality(df, spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == 6 and all(0 < r.site_rate < 1 for r in got)
 
 
 def test_quality_of_odd_input(spark):
@@ -749,6 +789,60 @@ def test_code_and_prose_are_no_secrets(spark, text):
     assert secrets.secret_scan(docs(spark, [(1, text)])).count() == 0
 
 
+def plain_secrets(rows):
+    """(doc_id, value) -> (occurrences, repositories, owners, verdict), with another regex engine and plain loops, from rows of DOCS."""
+    found, where = collections.Counter(), collections.defaultdict(set)
+    for doc_id, text, lang, source, _ in rows:
+        for m in re.finditer(secrets.PATTERN, text or ""):
+            value = re.sub(secrets.LEAD, "", m[0])
+            found[doc_id, value] += 1
+            where[value].add((source or "", lang or ""))
+    out = {}
+    for (doc_id, value), n in found.items():
+        owners, repositories = {o for o, _ in where[value]}, where[value]
+        word = secrets.LONG_PLACEHOLDER if len(value) > secrets.LONG_CHARS else secrets.PLACEHOLDER
+        verdict = "live"
+        if len(owners) >= secrets.EXAMPLE_OWNERS or len(repositories) >= secrets.EXAMPLE_REPOSITORIES:
+            verdict = "example"
+        elif len(set(value)) < secrets.MIN_DISTINCT_CHARS or re.search(word, value):
+            verdict = "placeholder"
+        out[doc_id, value] = n, len(repositories), len(owners), verdict
+    return out
+
+
+def plain_redaction(rows):
+    """doc_id -> text without live values, for rows with distinct ids."""
+    live = collections.defaultdict(list)
+    for (doc_id, value), (*_, verdict) in plain_secrets(rows).items():
+        if verdict == "live":
+            live[doc_id].append(value)
+    out = {}
+    for doc_id, text, *_ in rows:
+        for value in sorted(live[doc_id], key=lambda v: (-len(v), v)):
+            text = text.replace(value, "[SECRET]")
+        out[doc_id] = text
+    return out
+
+
+def test_secrets_against_plain_code(spark):
+    rng = random.Random(12)
+    values = [f"before {v}-----END RSA PRIVATE KEY----- after" if "BEGIN" in v else f"password = '{v}'" for v in LONG.values()] + SPELLINGS + ["AKIA" + "A" * 16, "ghp_" + "example1" * 6, "token = 'changeme12345'"]
+    rows = [(k, "\n".join([prose(k, 8), *rng.choices(values, k=rng.randint(0, 4)), prose(k + 1, 5)]), rng.choice(["en", "de", None]), rng.choice(["o1", "o2", "o3", "o4", None]), 1) for k in range(150)]
+    rows += [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 1000", "text", "lang", "source", "n_chars").collect()]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {(r.doc_id, r.secret_hash): (r.occurrences, r.n_repositories, r.n_owners, r.verdict) for r in secrets.secret_scan(df).collect()}
+    assert got == {(d, hashlib.sha256(v.encode()).hexdigest()): w for (d, v), w in plain_secrets(rows).items()} and {w[3] for w in got.values()} == {"live", "example", "placeholder"}
+    assert {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()} == plain_redaction(rows)
+
+
+def test_columns_that_clash_with_redaction(spark):
+    df = docs(spark, [(1, f'token = "{HEX}"'), (None, f'token = "{HEX}"')])
+    for c in ("live_doc", "live_values", "live_values_", "new_text", "value", "verdict"):
+        df = df.withColumn(c, F.lit("kept"))
+    got = secrets.redact_secrets(df)
+    assert got.columns == df.columns and all(r.text == 'token = "[SECRET]"' and r.live_values == "kept" and r.new_text == "kept" for r in got.collect())
+
+
 def test_long_runs_take_linear_time(spark):
     texts = ["a_-" * 200_000, "password" * 50_000, "x" * 500_000 + "=", "-----BEGIN RSA PRIVATE KEY-----" * 10_000, "-----BEGIN RSA PRIVATE KEY-----\n" + "a: b\n" * 100_000]
     assert secrets.redact_secrets(docs(spark, list(enumerate(texts)))).count() == len(texts)
