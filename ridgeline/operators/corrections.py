@@ -90,12 +90,11 @@ def parse(lines: DataFrame, towers: DataFrame) -> DataFrame:
 
 
 def parsed_summary(parsed: DataFrame, n_towers: int) -> DataFrame:
-    """One row: how many corrections were read, their indices in order, and where to go on.
+    """One row: how many corrections were read, the indices of the first and the last, and where to go on.
 
     More corrections than towers fail the query.
     """
-    rows = F.sort_array(F.collect_list(F.struct("seq", "idx")))
-    agg = parsed.agg(F.count("*").alias("n"), F.transform(rows, lambda r: r["idx"]).alias("indices"))
+    agg = parsed.agg(F.count("*").alias("n"), F.min_by("idx", "seq").alias("first_index"), F.max_by("idx", "seq").alias("last_index"))
     n = F.when(F.col("n") > n_towers, F.raise_error(F.lit("more corrections than towers")).cast("long")).otherwise(F.col("n"))
-    after = F.when(F.size("indices") > 0, F.pmod(F.element_at("indices", F.lit(-1)) + 1, F.lit(n_towers))).otherwise(0)
-    return agg.select(n.alias("n"), "indices", after.cast("long").alias("go_on_at"))
+    after = F.when(F.col("n") > 0, F.pmod(F.col("last_index") + 1, F.lit(n_towers))).otherwise(0)
+    return agg.select(n.alias("n"), "first_index", "last_index", after.cast("long").alias("go_on_at"))

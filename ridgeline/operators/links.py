@@ -11,15 +11,29 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.checkpoints import cut
 from ridgeline.functions import transforms as tr
 
 
 def number_rows(df: DataFrame, order: str | Column, name: str = "idx") -> DataFrame:
-    """Adds the row's place in a given order, from 0 (WN1). A single partition sorts: for dimension-sized input."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(order)).cast("long") - 1)
+    """Adds the row's place in a given order, from 0 without gaps (WN1); rows equal in it are numbered as they come.
+
+    Rows are sorted in ranges of the order, one task each; a range's numbers begin where the
+    counts of those before it end. What reaches the driver is one count a range.
+    """
+    own = order if isinstance(order, Column) else F.col(order)
+    ranges = cut(df.repartitionByRange(own).sortWithinPartitions(own).withColumn(name, F.monotonically_increasing_id()))
+    part, at = F.shiftright(name, 33), F.col(name).bitwiseAND((1 << 33) - 1)
+    total, starts = 0, []
+    for r in ranges.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts += [F.lit(r["part"]), F.lit(total)]
+        total += r["count"]
+    if not starts:
+        return ranges
+    return ranges.withColumn(name, F.element_at(F.create_map(*starts), part).cast("long") + at)
 
 
 def place_nodes(nodes: DataFrame) -> DataFrame:

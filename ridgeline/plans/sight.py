@@ -79,6 +79,17 @@ def coordinate_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SF4, SF39-SF40: pixels to tiles and back, places in a raster and back, wheel turns to metres."""
+    n = inputs.nodes(spark, sf_dir)
+    px, py = transforms.model_to_pixel(F.col("x"), transforms.node_y(F.col("y")))
+    tx, ty = transforms.pixel_to_tile(px, py)
+    bx, by = transforms.tile_to_pixel(tx, ty)
+    column, row = transforms.raster_position(F.col("database_line") % (2000 * 2000), 2000, 2000)
+    wheel = text.wheel_altitude((F.col("database_line") % 700).cast("double") - 350)
+    return _rounded(n.select("database_line", tx.alias("tile_x"), ty.alias("tile_y"), bx.alias("back_x"), by.alias("back_y"), column.cast("long").alias("column"), row.cast("long").alias("row"), wheel.alias("altitude_step")), 5)
+
+
 def tile_ray_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN3-JN4, SF7-SF8, SF17, PR5."""
     return _rounded(_pieces(spark, sf_dir), 5)
@@ -123,8 +134,11 @@ def raster_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC2-SC3, SF39: blocks as arrays, told by sum, first and last height."""
-    b = raster.to_blocks(_pixels(spark, sf_dir), BLOCK)
+    """KN5, SF39: blocks as arrays, told by sum, first and last height."""
+    return block_sums(raster.to_blocks(_pixels(spark, sf_dir), BLOCK))
+
+
+def block_sums(b: DataFrame) -> DataFrame:
     total = F.aggregate("heights", F.lit(0.0), lambda a, h: a + h)
     return b.select("tile_x", "tile_y", "bx", "by", total.alias("total"), F.element_at("heights", 1).cast("double").alias("first_h"), F.element_at("heights", -1).cast("double").alias("last_h"), F.col("top").cast("double").alias("top"))
 
@@ -139,7 +153,7 @@ def _sight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_of_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KN4, KN7, AG4, JN7, PR14: the flagship, through the cascade."""
+    """KN4, KN7, AG4, JN7: the flagship, through the cascade."""
     return _rounded(_sight(spark, sf_dir), 5)
 
 
@@ -183,7 +197,7 @@ def map_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        line_of_sight, node_links, node_rays, node_region, region_tiles, coordinate_spaces, tile_ray_pieces, curvature, traversal_variables, pixel_segments,
+        line_of_sight, node_links, node_rays, node_region, region_tiles, coordinate_spaces, scalar_functions, tile_ray_pieces, curvature, traversal_variables, pixel_segments,
         first_hits, raster_pyramid, raster_blocks, heat_map, line_of_sight_by_pixel, clear_links, blocked_links, run_statistics,
         tile_availability, missing_tiles, map_requests,
     )
@@ -306,6 +320,8 @@ SELECT database_line, round(tx, 4) AS tile_space_x, round(ty, 4) AS tile_space_y
        CAST(fx AS INTEGER) AS tile_x, CAST(fy AS INTEGER) AS tile_y, round((tx - fx) * 2000e0, 4) AS in_x, round((ty - fy) * 2000e0, 4) AS in_y,
        round(x, 4) AS back_x, round(y + 1000e0, 4) AS back_y,
        CAST((1999 - floor((ty - fy) * 2000e0)) * 2000 + floor((tx - fx) * 2000e0) AS BIGINT) AS raster_index FROM t""",
+    "scalar_functions": f"""{_NODES} SELECT database_line, round((x + 0.25e0) * 2e0 / 2000e0, 5) AS tile_x, round((y + 1000e0) * 2e0 / 2000e0, 5) AS tile_y, round((x + 0.25e0) * 2e0, 5) AS back_x, round((y + 1000e0) * 2e0, 5) AS back_y,
+       database_line % 4000000 % 2000 AS "column", 1999 - database_line % 4000000 // 2000 AS "row", round((database_line % 700 - 350) / 80e0, 5) AS altitude_step FROM nodes""",
     "tile_ray_pieces": f"""{_PIECES} SELECT id1, id2, tile_x, tile_y, {', '.join(f'round({c}, 5) AS {c}' for c in ('start_t', 'end_t', 'px', 'py', 'pz', 'pdx', 'pdy', 'pdz'))} FROM pieces""",
     "curvature": f"""{_links_sql(LINK_M)} SELECT id1, id2, {', '.join(f'round({_DROP.format(t=t)}, 8) AS {n}' for n, t in (('quarter', '0.25e0'), ('middle', '0.5e0'), ('"end"', '1e0')))} FROM links""",
     "traversal_variables": f"""{_PIECES}, v AS (

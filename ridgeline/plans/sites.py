@@ -25,8 +25,8 @@ def site_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A view near every third tower."""
-    t = inputs.towers(spark, sf_dir).where("database_line % 3 = 0")
+    """A view for every tower, up to 44 m north of it: some are out of reach."""
+    t = inputs.towers(spark, sf_dir)
     return t.select(F.col("database_line").alias("view_id"), (F.col("lat") + (F.col("database_line") % 5) * 0.0001).alias("lat"), F.col("lng"))
 
 
@@ -43,7 +43,7 @@ def site_natures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LM3, SC18, WN1-WN2: batches of 100 in input order, with the cyclic neighbours in each."""
+    """LM3, WN1-WN2: batches of 100 in input order, with the cyclic neighbours in each."""
     t = links.number_rows(inputs.towers(spark, sf_dir).drop("idx"), "database_line")
     return neighbours.cyclic(neighbours.batches(t), ["batch"], "index", "database_line").select("database_line", "batch", "index", "next_database_line", "previous_database_line")
 
@@ -102,8 +102,7 @@ def parsed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG11, WN6."""
     t, lines = _files(spark, sf_dir)
-    own = corrections.parsed_summary(corrections.parse(lines.withColumnRenamed("idx", "seq"), t), t.count())
-    return own.select("n", F.element_at("indices", 1).alias("first_index"), F.element_at("indices", -1).alias("last_index"), "go_on_at")
+    return corrections.parsed_summary(corrections.parse(lines.withColumnRenamed("idx", "seq"), t), t.count())
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +130,7 @@ def snapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def footprints_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PR8, SC12-SC13, PR13: footprints that touch the view around a place, 150 m each way."""
+    """PR8: footprints that touch the view around a place, 150 m each way."""
     x, y, r = 651_000.0, 6_861_000.0, 150.0
     return snapping.in_box(_buildings(spark, sf_dir), x - r, y - r, x + r, y + r).select("building_id", "x0", "y0", "x1", "y1")
 
@@ -143,7 +142,7 @@ def _departments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def needed_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC14-SC15, JN10, SF22-SF23, SF28, SO4: databases around the points; those of even codes are there."""
+    """SC14, JN10, SF22-SF23, SF28, SO4: databases around the points; those of even codes are there."""
     d = _departments(spark, sf_dir)
     have = d.where("cast(code as int) % 2 = 0").select(text.footprint_database(text.department(F.col("code"))).alias("database"))
     return snapping.databases(snapping.bounds(_points(spark, sf_dir)), d, have)
@@ -253,7 +252,7 @@ SQL = {
     "site_neighbours": f"""{_TOWERS} SELECT a.database_line, b.database_line AS other_line, round({_distance('a', 'b')}, 5) AS distance_m,
        round({_bearing('b', 'a')}, 5) AS bearing_deg, round(degrees(atan2(5e0, {_distance('a', 'b')})), 5) AS pitch_deg
 FROM towers a JOIN towers b ON a.database_line <> b.database_line AND {_near('a', 'b', 100.0)}""",
-    "nearest_views": f"""{_TOWERS}, views AS (SELECT database_line AS view_id, lat + (database_line % 5) * 0.0001e0 AS lat, lng FROM towers WHERE database_line % 3 = 0), met AS (
+    "nearest_views": f"""{_TOWERS}, views AS (SELECT database_line AS view_id, lat + (database_line % 5) * 0.0001e0 AS lat, lng FROM towers), met AS (
     SELECT a.database_line, b.view_id, {_distance('a', 'b')} AS d, {_bearing('b', 'a')} AS h, b.lat, b.lng FROM towers a JOIN views b ON {_near('a', 'b', 30.0)}
 ), best AS (SELECT *, degrees(atan2(5e0, d)) AS p, row_number() OVER (PARTITION BY database_line ORDER BY round(d, 6), view_id) AS nth FROM met)
 SELECT database_line, view_id, round(d, 5) AS distance_m, round(h, 5) AS heading_deg, round(p, 5) AS pitch_deg,
