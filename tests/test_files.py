@@ -125,11 +125,29 @@ def test_the_sight_job(spark, tmp_path):
     with pytest.raises(Exception, match="missing tile"):
         jobs.sight_job(spark, str(tmp_path / "nodes.csv"), str(folder), str(tmp_path / "out"), ppt=20, size=5)
     (folder / name).write_bytes(rasters.encode_tiff(h))
+    # A tile outside the region isn't opened: this one couldn't be.
+    (folder / name.replace("0000", "0009")).write_bytes(b"no raster")
     got = jobs.sight_job(spark, str(tmp_path / "nodes.csv"), str(folder), str(tmp_path / "out"), ppt=20, size=5)
     assert {(r.id1, r.id2): r.is_free for r in got.collect()} == {(2, 1): True, (3, 1): False, (3, 2): False}
     assert spark.read.csv(str(tmp_path / "out" / "blocked.csv")).count() == 2
     assert rasters.delete_partial_tiles(spark, str(folder)) == 1
-    assert rasters.list_files(spark, str(folder)).count() == 1
+    assert rasters.list_files(spark, str(folder)).count() == 2
+
+
+def test_the_command_line(spark, tmp_path):
+    own = jobs.parser().parse_args("sight --nodes n --tiles t --output o -m 250.5 -r here".split())
+    assert (own.job, own.nodes, own.tiles, own.output, own.max_link_length, own.region, own.pixels) == ("sight", "n", "t", "o", 250.5, "here", 2000)
+    assert jobs.parser().parse_args("sight --nodes n --tiles t --output o".split()).max_link_length == float("inf")
+    own = jobs.parser().parse_args("snap --points p --footprints a b --output o --geographic".split())
+    assert (own.footprints, own.geographic, own.reach) == (["a", "b"], True, 20.0)
+    with pytest.raises(SystemExit):
+        jobs.parser().parse_args(["snap"])
+    (tmp_path / "nodes").mkdir()
+    (tmp_path / "tiles" / "here").mkdir(parents=True)
+    (tmp_path / "nodes" / "here.csv").write_text("1,1,100,500,20,True\n1,2,400,500,20,True\n")
+    (tmp_path / "tiles" / "here" / "LHD_FXX_0000_0001_MNS_O_0M50_LAMB93_IGN69.tif").write_bytes(rasters.encode_tiff(np.zeros((20, 20), np.float32)))
+    got = jobs.main(f"sight --nodes {tmp_path}/nodes --tiles {tmp_path}/tiles --output {tmp_path}/out -r here --pixels 20 --block 5".split())
+    assert [(r.id1, r.id2, r.is_free) for r in got.collect()] == [(2, 1, True)]
 
 
 def test_database_folder(tmp_path):

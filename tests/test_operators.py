@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geodesy
-from ridgeline.operators import corrections, graph, neighbours, snapping
+from ridgeline.operators import corrections, graph, links, neighbours, snapping
 from ridgeline.streaming.corrections import fold_event, fold_stream
 
 ACTIONS = ["changed", "move", "altitude", "verified", "bad", "reset"]
@@ -70,12 +71,50 @@ def test_components(spark):
     assert got == {a: find(a) for a in parent}
 
 
-def test_least_cut_and_outline():
-    import numpy as np
-
+def test_least_cut():
     ring = np.array([(0, 1), (1, 2), (2, 3), (3, 0)])
     assert graph.least_cut(4, ring) == 2
-    assert graph.least_cut(4, np.vstack([ring, [(0, 2), (1, 3)]])) == 3
+    assert graph.least_cut(4, np.vstack([ring, [(0, 2), (1, 3)], ring[:, ::-1], [(2, 2)]])) == 3
+    assert graph.least_cut(1, np.zeros((0, 2), int)) == graph.least_cut(3, np.array([(0, 1)])) == 0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_least_cut_against_every_cut(seed):
+    rng = random.Random(seed)
+    n = rng.randint(2, 9)
+    edges = [(a, b) for a in range(n) for b in range(a) if rng.random() < rng.choice([0.3, 0.6, 0.9])]
+    want = min(sum((s >> a & 1) != (s >> b & 1) for a, b in edges) for s in range(1, (1 << n) - 1))
+    assert graph.least_cut(n, np.array(edges or [(0, 0)])) == want
+
+
+def test_least_cut_of_a_large_component():
+    """Two dense halves that three edges join."""
+    rng = random.Random(1)
+    edges = [(h + a, h + rng.randrange(4000)) for h in (0, 4000) for a in range(4000) for _ in range(6)] + [(0, 4000), (1, 4001), (2, 4002)]
+    assert graph.least_cut(8000, np.array(edges)) == 3
+
+
+def area(ring):
+    x, y = np.asarray(ring, float).T
+    return abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
+
+
+def test_outlines():
+    """Points in convex position keep their hull; an L is dug out, and every point is on it or inside."""
+    circle = np.array([(math.cos(k), math.sin(k)) for k in np.linspace(0, 6, 14)])
+    assert sorted(map(tuple, graph.concave_outline(circle))) == sorted(map(tuple, circle))
+    corner = np.array([(x, y) for x in range(11) for y in range(11) if x < 4 or y < 4], float)
+    got = graph.concave_outline(corner)
+    assert area(got) < 0.75 * area(corner[graph._convex(corner)]) and area(got) >= 51
+    assert {tuple(p) for p in got} <= {tuple(p) for p in corner}
+    assert len(graph.concave_outline(np.array([(1.0, 2.0)]))) == 1 and len(graph.concave_outline(np.array([(1.0, 2.0), (3.0, 4.0), (1.0, 2.0)]))) == 2
+
+
+def test_row_numbers(spark):
+    rows = [(v, -v) for v in random.Random(3).sample(range(10_000), 700)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(7)
+    assert [(r.a, r.idx) for r in links.number_rows(df, "a").orderBy("a").collect()] == [(a, i) for i, a in enumerate(sorted(a for a, _ in rows))]
+    assert links.number_rows(df.limit(0), "a").columns == ["a", "b", "idx"]
 
 
 def test_neighbours_against_brute_force(spark):

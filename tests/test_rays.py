@@ -53,6 +53,25 @@ def test_pixels_in_a_row_are_those_of_the_set_form(spark):
     assert a == b
 
 
+def in_arrays(rows):
+    import numpy as np
+
+    from ridgeline.operators import traverse
+
+    return [tuple(map(float, r)) for r in zip(*traverse.segments(*np.array(rows, dtype=float).T.copy()))]
+
+
+@pytest.mark.parametrize("kind", ["random", "lattice", "half", "vectors"])
+def test_squares_in_arrays_are_those_of_the_set_form(spark, kind):
+    """Also through grid corners, where times that don't add up step by step give other squares."""
+    rng = random.Random(7)
+    value = {"random": lambda: rng.uniform(-20, 20), "lattice": lambda: rng.randint(-40, 40), "half": lambda: rng.randint(-40, 40) / 2}.get(kind)
+    rows = [tuple(value() for _ in range(4)) for _ in range(400)] if value else [v[0] for v in VECTORS] + [(2.5, 3.5, 0, 0)]
+    want = [(r.i, r.pixel_x, r.pixel_y, r.start_t, r.end_t) for r in crossings.pixel_segments(table(spark, rows), ["i"]).orderBy("i", "seq").collect()]
+    got = [(int(i), int(x), int(y), a, b) for i, x, y, a, b in in_arrays(rows)]
+    assert got == want
+
+
 @pytest.mark.parametrize("t,length,drop", [(0, 1000, 0), (1, 1000, 0), (0.5, 1000, 0.0174), (0.5, 10000, 1.736)])
 def test_curvature(spark, t, length, drop):
     got = spark.range(1).select(rays.curvature_drop(F.lit(float(t)), F.lit(float(length)))).first()[0]
