@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ridgeline import inputs
 from ridgeline.checkpoints import scratch
-from ridgeline.functions import text
+from ridgeline.functions import geodesy, text
 from ridgeline.operators import links, neighbours, raster, snapping, tiles
 from ridgeline.plans import jobs, sight, sites
 from ridgeline.sinks.files import local, write_batches, write_corrections, write_geopackages, write_links, write_snapped
@@ -142,10 +142,11 @@ def _snapped_sums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def databases_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC13-SC15, JN10: departments of a GeoJSON file, databases of those even codes whose folders are there."""
+    """SC13-SC15, JN10: departments of a GeoJSON file in degrees, databases of those even codes whose folders are there."""
     root = local(_folder(spark))
     os.makedirs(root)
-    own = sites._departments(spark, sf_dir).withColumn("database", text.footprint_database(text.department(F.col("code")))).collect()  # a row for each department
+    degrees = lambda v: F.struct(*[c.alias(n) for c, n in zip(geodesy.from_lambert93(v["x"], v["y"]), "xy")])
+    own = sites._departments(spark, sf_dir).withColumn("ring", F.transform("ring", degrees)).withColumn("database", text.footprint_database(text.department(F.col("code")))).collect()  # a row for each department
     features = [{"type": "Feature", "properties": {"code": r.code}, "geometry": {"type": "Polygon", "coordinates": [[[p.x, p.y] for p in [*r.ring, r.ring[0]]]]}} for r in own]
     with open(f"{root}/departments.geojson", "w") as f:
         json.dump({"type": "FeatureCollection", "features": features}, f)
@@ -156,7 +157,7 @@ def databases_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             os.makedirs(f"{deep}/1_DONNEES/first")
             open(f"{deep}/1_DONNEES/first/one.gpkg", "wb").close()
     have = footprints.present_databases(spark, root, [r.database for r in own])
-    return snapping.databases(snapping.bounds(sites._points(spark, sf_dir)), tables.read_departments(spark, f"{root}/departments.geojson"), have)
+    return snapping.databases(snapping.bounds(sites._points(spark, sf_dir)), tables.read_departments(spark, f"{root}/departments.geojson", 4326), have)
 
 
 def _batch_root(spark: SparkSession, sf_dir: str) -> str:

@@ -6,7 +6,9 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from ridgeline.functions import geodesy
 from ridgeline.operators import corrections, raster
 from ridgeline.plans import jobs
 from ridgeline.sinks.files import write_corrections
@@ -81,8 +83,71 @@ def test_rasters(spark, tmp_path):
     assert key(got) == key(raster.to_blocks(long, 4))
 
 
-def wkb(ring):
-    return struct.pack("<BIII", 1, 3, 1, len(ring)) + b"".join(struct.pack("<dd", *p) for p in ring)
+def packed_lzw(data):
+    """A plain encoder: the longest string known so far, then one more byte."""
+    bits, table, width, now = [], {}, 9, b""
+
+    def put(code):
+        bits.extend(code >> k & 1 for k in range(width - 1, -1, -1))
+
+    put(256)
+    table = {bytes([k]): k for k in range(256)} | {None: 256, False: 257}
+    for b in data:
+        if now + bytes([b]) in table:
+            now += bytes([b])
+            continue
+        put(table[now])
+        table[now + bytes([b])] = len(table)
+        width = 9 if len(table) < 512 else 10 if len(table) < 1024 else 11 if len(table) < 2048 else 12
+        now = bytes([b])
+        if len(table) >= 4094:
+            put(table[now])
+            put(256)
+            table, width, now = {bytes([k]): k for k in range(256)} | {None: 256, False: 257}, 9, b""
+    if now:
+        put(table[now])
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    put(257)
+    bits += [0] * (-len(bits) % 8)
+    return bytes(int("".join(map(str, bits[k : k + 8])), 2) for k in range(0, len(bits), 8))
+
+
+def packed_bits(data):
+    return b"".join(bytes([len(data[k : k + 100]) - 1]) + data[k : k + 100] for k in range(0, len(data), 100)) + bytes([128, 0])
+
+
+def tiff(h, compression, predictor):
+    if predictor == 2:
+        v = h.view(np.uint32)
+        data = np.diff(v, axis=1, prepend=np.zeros((len(h), 1), np.uint32)).astype("<u4").tobytes()
+    elif predictor == 3:
+        rows = h.astype(">f4").view(np.uint8).reshape(*h.shape, 4).swapaxes(1, 2).reshape(len(h), -1)
+        data = np.diff(rows, axis=1, prepend=np.zeros((len(h), 1), np.uint8)).astype(np.uint8).tobytes()
+    else:
+        data = h.astype("<f4").tobytes()
+    import zlib
+
+    data = {1: bytes, 5: packed_lzw, 8: zlib.compress, 32773: packed_bits}[compression](data)
+    entries = [(256, 4, h.shape[1]), (257, 4, h.shape[0]), (258, 3, 32), (259, 3, compression), (273, 4, 8), (277, 3, 1), (278, 4, h.shape[0]), (279, 4, len(data)), (317, 3, predictor), (339, 3, 3)]
+    return b"II*\0" + struct.pack("<I", 8 + len(data)) + data + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in entries) + b"\0\0\0\0"
+
+
+@pytest.mark.parametrize("predictor", [1, 2, 3])
+@pytest.mark.parametrize("compression", [1, 5, 8, 32773])
+def test_rasters_of_every_packing(compression, predictor):
+    rng = np.random.default_rng(1)
+    h = (np.round(rng.standard_normal((60, 70)).cumsum(axis=1) * 4) / 4 + 50).astype(np.float32)
+    h[3, 4] = np.nan
+    assert np.array_equal(rasters.decode_tiff(tiff(h, compression, predictor)), h, equal_nan=True)
+
+
+def wkb(*rings):
+    return struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in rings)
+
+
+def test_holes_are_read():
+    blob = b"GP\0\x01" + struct.pack("<i", 2154) + wkb(square(0, 0), square(2, 2, 3.0))
+    assert footprints.geopackage_rings(blob) == [[square(0, 0), square(2, 2, 3.0)]]
 
 
 def geopackage(path, rings):
@@ -138,8 +203,8 @@ def test_the_command_line(spark, tmp_path):
     own = jobs.parser().parse_args("sight --nodes n --tiles t --output o -m 250.5 -r here".split())
     assert (own.job, own.nodes, own.tiles, own.output, own.max_link_length, own.region, own.pixels) == ("sight", "n", "t", "o", 250.5, "here", 2000)
     assert jobs.parser().parse_args("sight --nodes n --tiles t --output o".split()).max_link_length == float("inf")
-    own = jobs.parser().parse_args("snap --points p --footprints a b --output o --geographic".split())
-    assert (own.footprints, own.geographic, own.reach) == (["a", "b"], True, 20.0)
+    own = jobs.parser().parse_args("snap --points p --footprints a b --output o --crs 4326".split())
+    assert (own.footprints, own.crs, own.reach) == (["a", "b"], 4326, 20.0)
     with pytest.raises(SystemExit):
         jobs.parser().parse_args(["snap"])
     (tmp_path / "nodes").mkdir()
@@ -150,6 +215,24 @@ def test_the_command_line(spark, tmp_path):
     assert [(r.id1, r.id2, r.is_free) for r in got.collect()] == [(2, 1, True)]
 
 
+def test_databases_around_the_points(spark, tmp_path):
+    """Departments in degrees, points in UTM: the one database that is needed is found, or named."""
+    ring = [[2.0, 48.0], [3.0, 48.0], [3.0, 49.0], [2.0, 49.0], [2.0, 48.0]]
+    away = [[x + 3, y] for x, y in ring]
+    features = [{"properties": {"code": c}, "geometry": {"type": "Polygon", "coordinates": [r]}} for c, r in (("75", ring), ("2A", away))]
+    (tmp_path / "d.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    (tmp_path / "p.csv").write_text("448251.795,5411932.678\n")
+    args = f"snap --points {tmp_path}/p.csv --crs 32631 --bdtopo-dir {tmp_path} --departments {tmp_path}/d.geojson --output {tmp_path}/out".split()
+    with pytest.raises(ValueError, match="missing databases: .*D075"):
+        jobs.main(args)
+    deep = tmp_path / "BDTOPO_3-5_TOUSTHEMES_GPKG_LAMB93_D075_2025-12-15" / "BDTOPO_3-5_TOUSTHEMES_GPKG_LAMB93_D075_2025-12-15" / "1_DONNEES" / "first"
+    deep.mkdir(parents=True)
+    x, y = spark.range(1).select(*geodesy.to_lambert93(F.lit(2.2945), F.lit(48.8582))).first()
+    geopackage(deep / "x.gpkg", [square(x + 5, y - 10, 20.0)])
+    got = jobs.main(args).collect()
+    assert len(got) == 1 and abs(got[0].moved - 5) < 3 and spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["x", "y"]
+
+
 def test_database_folder(tmp_path):
     deep = tmp_path / "db" / "db" / "1_DONNEES" / "first"
     deep.mkdir(parents=True)

@@ -138,6 +138,23 @@ def test_lambert_93(spark):
     assert tuple(got) == pytest.approx((669282.3687, 6900836.7895, 2.578521, 49.206509), abs=1e-3)
 
 
+@pytest.mark.parametrize("crs,x,y,lng,lat", [(32631, 448251.795, 5411932.678, 2.2945, 48.8582), (3857, 261848.15, 6250566.72, 2.3522, 48.8566), (4326, 2.5, 49.0, 2.5, 49.0), (3950, 1700000.0, 9200000.0, 3.0, 50.0), (3944, 1700000.0, 3200000.0, 3.0, 44.0), (2154, 700000.0, 6600000.0, 3.0, 46.5)])
+def test_reference_systems(spark, crs, x, y, lng, lat):
+    got = spark.range(1).select(*geodesy.to_lng_lat(crs, F.lit(x), F.lit(y))).first()
+    assert tuple(got) == pytest.approx((lng, lat), abs=5e-5)
+    with pytest.raises(ValueError):
+        geodesy.to_lng_lat(27572, F.lit(0.0), F.lit(0.0))
+
+
+def test_courtyards(spark):
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    kinds = "building_id long, x0 double, y0 double, x1 double, y1 double, ring array<struct<x: double, y: double>>, holes array<array<struct<x: double, y: double>>>"
+    b = spark.createDataFrame([(1, 0.0, 0.0, 30.0, 30.0, square(0.0, 30.0), [square(10.0, 20.0)]), (2, 100.0, 0.0, 130.0, 30.0, [(100.0, 0.0), (130.0, 0.0), (130.0, 30.0), (100.0, 30.0)], None)], kinds)
+    points = spark.createDataFrame([(1, 12.0, 15.0), (2, 5.0, 5.0), (3, 115.0, 15.0)], "point_id long, x double, y double")
+    got = {r.point_id: (r.snapped_x, r.snapped_y, r.moved) for r in snapping.snap(points, b).collect()}
+    assert got == {1: (10, 15, 2), 2: (5, 5, 0), 3: (115, 15, 0)}
+
+
 def test_snapping_to_polygons(spark):
     ring = [(0.0, 0.0), (30.0, 0.0), (30.0, 30.0), (15.0, 10.0), (0.0, 30.0)]
     rows = [(2, 0.0, 0.0, 30.0, 30.0, ring), (1, 60.0, 0.0, 70.0, 10.0, [(60.0, 0.0), (70.0, 0.0), (70.0, 10.0), (60.0, 10.0)])]
