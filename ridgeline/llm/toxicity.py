@@ -61,8 +61,21 @@ _LOOKALIKE = str.maketrans(
 _DIGITS = str.maketrans("0134578", "oieastb")
 _L = str.maketrans("l", "i")
 _SIGNS = {"@": "a", "$": "s", "!": "i", "€": "e", "|": "i"}
-_INNER_SIGN = re.compile(r"(?<=\w)[@$!€|]+(?=\w)|[@$](?=[^\W\d_])")
-_DIGIT_WORD = re.compile(r"\b(?=[a-z0-9]*[a-z])(?=[a-z0-9]*[0-9])[a-z0-9]+\b")
+_SIGN_RUN = re.compile(r"[@$!€|]+")
+
+
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _sign(m: re.Match) -> str:
+    """Signs between letters stand for letters; so does one @ or $ that begins a word."""
+    before, after = m.string[max(0, m.start() - 1) : m.start()], m.string[m.end() : m.end() + 1]
+    if not after or not _in_word(after):
+        return m[0]
+    if before and _in_word(before):
+        return "".join(_SIGNS[c] for c in m[0])
+    return m[0][:-1] + _SIGNS[m[0][-1]] if m[0][-1] in "@$" and after != "_" and not after.isdecimal() else m[0]
 
 
 #: Three letters or more that stand by themselves.
@@ -71,18 +84,22 @@ _THRICE = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
 _RUN = re.compile(r"([a-z])\1\1+")
 
 
+def unsigned(text: str) -> str:
+    """The text with signs that stand for letters replaced by them."""
+    return _SIGN_RUN.sub(_sign, text) if any(c in text for c in _SIGNS) else text
+
+
 def _folded(text: str) -> tuple[str, int]:
     """What is scanned of a text, and how many words the text has."""
-    if _INNER_SIGN.search(text):
-        text = _INNER_SIGN.sub(lambda m: "".join(_SIGNS[c] for c in m[0]), text)
-    out = fold(text)
+    out = fold(unsigned(text))
     if not out:
         return "", 0
     words = out.count(" ") + 1
     if not out.isascii():
         out = out.translate(_LOOKALIKE)
     if any(d in out for d in "0134578"):
-        out = _DIGIT_WORD.sub(lambda m: m[0].translate(_DIGITS), out)
+        # Words of letters and digits; numbers stay.
+        out = " ".join([w if w.isalpha() or w.isdigit() or not w.isascii() else w.translate(_DIGITS) for w in out.split(" ")])
     out = out.translate(_L) if out.isascii() else out.replace("l", "i")
     out = _APART.sub(lambda m: m[0].replace(" ", ""), out)
     if any(t in out for t in _THRICE):
