@@ -222,7 +222,7 @@ def test_databases_around_the_points(spark, tmp_path):
     features = [{"properties": {"code": c}, "geometry": {"type": "Polygon", "coordinates": [r]}} for c, r in (("75", ring), ("2A", away))]
     (tmp_path / "d.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
     (tmp_path / "p.csv").write_text("448251.795,5411932.678\n")
-    args = f"snap --points {tmp_path}/p.csv --crs 32631 --bdtopo-dir {tmp_path} --departments {tmp_path}/d.geojson --output {tmp_path}/out".split()
+    args = f"snap --points {tmp_path}/p.csv --crs 32631 --databases {tmp_path} --departments {tmp_path}/d.geojson --output {tmp_path}/out".split()
     with pytest.raises(ValueError, match="missing databases: .*D075"):
         jobs.main(args)
     deep = tmp_path / "BDTOPO_3-5_TOUSTHEMES_GPKG_LAMB93_D075_2025-12-15" / "BDTOPO_3-5_TOUSTHEMES_GPKG_LAMB93_D075_2025-12-15" / "1_DONNEES" / "first"
