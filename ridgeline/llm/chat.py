@@ -116,17 +116,15 @@ def chat_segments(turns: DataFrame, template: Template = CHATML) -> DataFrame:
         F.struct(text.alias("text"), loss.alias("loss")),
         F.struct(F.coalesce(by_role(lambda r: r.after), F.lit("")).alias("text"), loss.alias("loss")),
     )
-    good = (
-        run.where("error is null")
-        .select("conv_id", F.posexplode(F.slice("turns", F.lit(1), F.col("end.last"))).alias("i", "t"))
-        .select("conv_id", "i", "t.turn", role.alias("role"), F.posexplode(parts).alias("j", "p"))
-        .select("conv_id", (F.col("i") * 3 + F.col("j")).alias("segment"), "turn", "role", "p.text", "p.loss", F.lit(None).cast("string").alias("error"))
+    # Either the turns up to the last accepting state, each in three parts, or one row that says what is wrong: one pass for both.
+    fine = F.col("error").isNull()
+    refusal = F.array(F.struct(F.col("end.bad_turn").alias("turn"), F.col("end.bad_role").alias("role"), F.lit(None).cast("string").alias("text")))
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("loss")))
+    return (
+        run.select("conv_id", "error", F.posexplode(F.when(fine, F.slice("turns", F.lit(1), F.col("end.last"))).otherwise(refusal)).alias("i", "t"))
+        .select("conv_id", "error", "i", "t.turn", role.alias("role"), F.posexplode(F.when(fine, parts).otherwise(nothing)).alias("j", "p"))
+        .select("conv_id", F.when(fine, F.col("i") * 3 + F.col("j")).alias("segment"), "turn", "role", "p.text", "p.loss", "error")
     )
-    refused = run.where("error is not null").select(
-        "conv_id", F.lit(None).cast("int").alias("segment"), F.col("end.bad_turn").alias("turn"), F.col("end.bad_role").alias("role"),
-        F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("loss"), "error",
-    )
-    return good.unionByName(refused)
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

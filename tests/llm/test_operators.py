@@ -310,6 +310,27 @@ def test_decontamination_of_odd_input(spark):
     assert decontaminate.contamination(empty(spark), bench).count() == 0
 
 
+def test_registered_query_against_brute_force(spark):
+    """op5 over whole tables: every window held against every text; op2: every token packed once, in bounds."""
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet").collect()
+    items = collections.defaultdict(list)
+    for r in table("benchmark"):
+        items[r.item_id] += decontaminate.windows(r.text)
+    want = {(r.doc_id, i) for r in table("documents") for i, own in items.items() if any(f" {w} " in f" {common.fold(r.text or '')} " for w in own)}
+    got = QUERIES["op5_benchmark_decontamination"](spark, "/root/testdata/sf0.01").collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and want
+    text = {r.doc_id: r.text for r in table("documents")}
+    for r in got:
+        inside = f" {common.fold(text[r.doc_id][r.start_char : r.end_char])} "
+        assert any(f" {w} " in inside for w in items[r.item_id])
+    enc = encoding()
+    sizes, room = collections.Counter(), collections.Counter()
+    for r in QUERIES["op2_packing"](spark, "/root/testdata/sf0.01").collect():
+        sizes[r.doc_id] += r.n_tokens
+        room[r.shard, r.sequence] += r.n_tokens
+    assert sizes == {i: len(enc.encode_ordinary(t)) for i, t in text.items() if t} and max(room.values()) <= packing.CAPACITY
+
+
 # 6 neighbours
 
 
@@ -497,6 +518,23 @@ def roots_of(edges, nodes):
     return {i: find(i) for i in nodes}
 
 
+def test_registered_near_duplicates_against_all_pairs(spark):
+    """op7 over a whole table: groups are those of all pairs of sketches, and no exact copy is missed."""
+    rows = {r.doc_id: common.fold(r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    ids = sorted(i for i, t in rows.items() if t)
+    sk = near_dedup.odd_sketches(near_dedup.minima([rows[i] for i in ids]))
+    limit = near_dedup.most_bits(near_dedup.THRESHOLD)
+    far = np.bitwise_count(sk[:, None] ^ sk[None]).sum(axis=2)
+    want = roots_of([(ids[i], ids[j]) for i, j in zip(*np.nonzero(far <= limit)) if j < i], ids)
+    got = {r.doc_id: r.kept_doc_id for r in QUERIES["op7_minhash_near_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    # A pair at the threshold shares a band in 98 of 100 cases; all others here do.
+    assert set(got) == set(rows) and sum(got[i] != want[i] for i in ids) <= 2
+    least = {}
+    for i in ids:
+        least.setdefault(rows[i], i)
+    assert all(got[i] == got[least[rows[i]]] for i in ids)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_bucket_edges_against_all_pairs(seed):
     """Chains, in which the ends are not similar to their leader, and texts alone."""
@@ -562,6 +600,20 @@ def test_terms(text, hits):
     assert toxicity.score_text(toxicity.build(toxicity.LEXICON), text)[1] == hits
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_signs_and_digits_against_other_patterns(seed):
+    """The same replacements, said in look-arounds."""
+    rng = random.Random(seed)
+    sign = re.compile(r"(?<=\w)[@$!€|]+(?=\w)|[@$](?=[^\W\d_])")
+    digit = re.compile(r"\b(?=[a-z0-9]*[a-z])(?=[a-z0-9]*[0-9])[a-z0-9]+\b")
+    for _ in range(3000):
+        text = "".join(rng.choices("@$!€|ab1_9 éп", k=rng.randint(0, 9)))
+        want = sign.sub(lambda m: "".join(toxicity._SIGNS[c] for c in m[0]), text)
+        assert toxicity.unsigned(text) == want, text
+        want = digit.sub(lambda m: m[0].translate(toxicity._DIGITS), common.fold(want).translate(toxicity._LOOKALIKE)).translate(toxicity._L)
+        assert "aaa" in want or toxicity._APART.search(want) or toxicity._THRICE and any(t in want for t in toxicity._THRICE) or toxicity.disguise_folded(text) == want, text
+
+
 def test_ordinary_words_of_a_language():
     a = toxicity.build(toxicity.LEXICON)
     assert toxicity.score_text(a, "retard", "fr") == (0, 0) and toxicity.score_text(a, "retard", "en")[1] == toxicity.score_text(a, "retard")[1] == 1
@@ -570,7 +622,7 @@ def test_ordinary_words_of_a_language():
 def plain_score(text, lang):
     """Every term held against every place, every hit against every exception phrase."""
     words = toxicity.disguise_folded(text or "").split(" ")
-    count = len(common.fold(toxicity._INNER_SIGN.sub(lambda m: "".join(toxicity._SIGNS[c] for c in m[0]), text or "")).split())
+    count = len(common.fold(toxicity.unsigned(text or "")).split())
     at = lambda phrase: [(i, i + len(phrase)) for i in range(len(words)) if words[i : i + len(phrase)] == phrase]
     safe = [p for e in toxicity.EXCEPTIONS for p in at(toxicity.disguise_folded(e).split(" "))]
     weights = collections.defaultdict(float)
