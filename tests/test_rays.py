@@ -113,6 +113,23 @@ def test_transforms_go_there_and_back(spark):
     assert spark.range(1).select(bx, by).first() == pytest.approx((18925.1985, 26935.5237))
 
 
+def test_pieces_in_arrays_are_those_of_the_table(spark):
+    import numpy as np
+
+    from ridgeline.operators import traverse
+
+    rng = random.Random(8)
+    rows = [[rng.uniform(-3, 3), rng.uniform(-3, 3), rng.uniform(0, 50), rng.uniform(-3, 3), rng.uniform(-3, 3), rng.uniform(-9, 9)] for _ in range(150)]
+    rows += [[rng.randint(-2, 2) / 2, rng.randint(-2, 2) / 2, 10.0, rng.randint(-4, 4) / 2, rng.randint(-4, 4) / 2, 1.0] for _ in range(150)]
+    full = [(i, -i, *r, math.hypot(r[3], r[4]) * 1000) for i, r in enumerate(rows)]
+    table = spark.createDataFrame(full, "id1 long, id2 long, sx double, sy double, sz double, dx double, dy double, dz double, length_m double")
+    want = {(r.id1, r.tile_x, r.tile_y): (r.px, r.py, r.pdx, r.pdy, r.pz, r.pdz) for r in tile_rays.clip_to_tiles(table, 100).collect()}
+    c = np.array(rows).T
+    ray, tx, ty, part = traverse.clip((c[0], c[1], c[3], c[4], c[2], c[5]), np.array([f[-1] for f in full]), 100)
+    got = dict(zip(zip(ray.tolist(), tx.tolist(), ty.tolist()), zip(*(p.tolist() for p in part))))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def nodes(spark, rows):
     return spark.createDataFrame([(i, i, *map(float, r[:3]), r[3]) for i, r in enumerate(rows)], "idx long, database_line long, x double, y double, z double, active boolean")
 
