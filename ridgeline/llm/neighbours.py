@@ -8,11 +8,12 @@ all trees together. Members of the leaves visited are ranked by their exact simi
 
 How many leaves a query visits is measured, not guessed: ``CALIBRATION`` of the
 queries are held against all rows, and the number of leaves is the least that
-finds ``TARGET_RECALL`` of their neighbours. Whatever the data, no query is compared with more
-than about ``MAX_COMPARED`` vectors (leaves are medians of a sample, so their sizes
-vary a little). Vectors with structure need a few hundred or thousand comparisons;
+finds ``TARGET_RECALL`` of their neighbours. The forest serves where that takes at most ``MAX_COMPARED``
+comparisons a query, or one in ``INDEX_SHARE`` of all rows if that is more (leaves are medians of a sample, so their sizes
+vary a little). Vectors with structure need a few hundred or thousand;
 vectors without any, such as uniform noise in 64 dimensions, need a large share of all rows
-from any index, and beyond the bound their recall falls below the target.
+from any index. Where the forest doesn't reach the target within that bound, it is not searched at all: every query is held
+against every row (``search_all``), and the result is exact.
 
 Splits are fitted on a bounded sample (``SAMPLE_ROWS`` for the upper levels, about
 ``ROWS_A_LEAF`` vectors for each leaf below), every row is indexed. Workers hold the
@@ -37,12 +38,16 @@ from ridgeline.llm.common import cut, read
 K = 10
 TREES, LEAF = 4, 32
 TARGET_RECALL, CALIBRATION = 0.92, 256
-MAX_COMPARED = 32_768
+MAX_COMPARED, INDEX_SHARE = 32_768, 32
 MIN_PROBES = 8
 MAX_SPLIT_BYTES = 64 << 20
 SAMPLE_ROWS, ROWS_A_LEAF = 100_000, 48
 #: Leaves that lie side by side in a tree are one block, of about so many vectors: what a task holds at once.
 BLOCK_ROWS = 16_384
+#: The same for the exact search, where every query travels to every block, so that blocks are as large as a task may hold.
+HELD_BYTES = 64 << 20
+#: How many of a block's rows the exact search compares with queries at a time.
+TILE = 8192
 SEED = 20240611
 
 
@@ -133,6 +138,31 @@ def _top(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return np.nonzero(ok)[0], top[ok]
 
 
+def _nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, similarity) of the k rows of y most like each row of x, greatest first; of ties those of the least ids.
+
+    ``y`` is taken ``tile`` rows at a time, and what is less than k others of its row is dropped at once. In the first tile these are
+    k groups' maxima, later the k best so far.
+    """
+    row, column, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, x.dtype)
+    floor = np.full(len(x), -np.inf, dtype=x.dtype)
+    for at in range(0, len(y), tile):
+        own = x @ y[at : at + tile].T
+        groups = own.shape[1] // 64
+        if not at and groups > k:
+            floor = np.partition(own[:, : groups * 64].reshape(len(own), 64, groups).max(axis=1), groups - k, axis=1)[:, groups - k]
+        hits = np.flatnonzero(own >= floor[:, None])
+        r, c = np.divmod(hits, own.shape[1])
+        row, column, sims = np.concatenate((row, r)), np.concatenate((column, c + at)), np.concatenate((sims, own.ravel()[hits]))
+        if len(row) > 4 * k * len(x) or at + tile >= len(y):
+            order = np.lexsort((ids[column], -sims, row))
+            row, column, sims = row[order], column[order], sims[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            floor[row[nth == k - 1]] = sims[nth == k - 1]
+            row, column, sims = row[nth < k], column[nth < k], sims[nth < k]
+    return row, column, sims
+
+
 def _against_all(sample: np.ndarray, dims: int, k: int):
     """Best k rows of a partition for each of a few vectors, the vectors themselves left out."""
 
@@ -218,7 +248,10 @@ def grow(unit: DataFrame, n: int, dims: int, trees: int, leaf: int, sample_rows:
 
 
 def calibrate(unit: DataFrame, asked: DataFrame, forest: Forest, n: int, dims: int, k: int, target: float = TARGET_RECALL, max_compared: int = MAX_COMPARED) -> float:
-    """Sets the number of leaves that a query visits, and returns the recall it has on the queries held against all rows."""
+    """Sets the number of leaves that a query visits, and returns the recall it has on the queries held against all rows.
+
+    A recall below ``target`` says that ``max_compared`` comparisons are too few for it.
+    """
     every = len(forest.splits) << forest.depth
     most = min(every, max(MIN_PROBES, max_compared * (1 << forest.depth) // max(n, 1)))
     forest.probes = min(most, MIN_PROBES)
@@ -231,17 +264,54 @@ def calibrate(unit: DataFrame, asked: DataFrame, forest: Forest, n: int, dims: i
     true = own.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).select("q", "unit").collect()
     if not true:
         return 1.0
-    seen = visit(forest.project(x), forest.splits, forest.depth, most)
     leaves = forest.leaves(_floats([r.unit for r in true], dims)) | (np.arange(len(forest.splits)) << 40)
     first = np.full(len(true), most)
-    for i, r in enumerate(true):
-        hit = np.flatnonzero(np.isin(seen[r.q], leaves[i]))
-        first[i] = hit[0] if len(hit) else most
+    asks, step = np.array([r.q for r in true]), max(1, 2_000_000 // most)
+    for at in range(0, len(x), step):
+        seen = visit(forest.project(x[at : at + step]), forest.splits, forest.depth, most)
+        for i in np.flatnonzero((asks >= at) & (asks < at + step)):
+            hit = np.flatnonzero(np.isin(seen[asks[i] - at], leaves[i]))
+            first[i] = hit[0] if len(hit) else most
     wanted = int(np.sort(first)[math.ceil(target * len(first)) - 1]) + 1
     forest.probes = min(most, max(MIN_PROBES, wanted))
     return float((first < forest.probes).mean())
 
 
+_KINDS = "key long, asks boolean, leaf long, id long, leaves binary, unit binary"
+_FOUND = "q long, m long, similarity double, compared long"
+
+
+def _rank(best, dims: int, columns: float = math.inf):
+    """Applies ``best``, which holds a similarity for each query and up to ``columns`` members, to each block's members and some queries at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come by block, members before queries: a block's members are held, queries stream past them.
+        now, parts, own = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            edges = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (asks[1:] != asks[:-1]), [True])))
+            for a, b in zip(edges[:-1], edges[1:]):
+                if key[a] != now:
+                    now, parts, own = key[a], [], None
+                part = batch.slice(a, b - a)
+                if not asks[a]:
+                    parts.append((part.column(2).to_numpy(zero_copy_only=False).astype(np.int64), part.column(3).to_numpy(), _floats(part.column(5).to_pylist(), dims)))
+                    continue
+                if own is None and parts:
+                    own = tuple(np.concatenate(c) for c in zip(*parts))
+                    parts = []
+                if own is None:
+                    continue
+                step = max(1, min(256, int(8_000_000 // min(columns, len(own[1])))))
+                for at in range(0, part.num_rows, step):
+                    some = part.slice(at, step)
+                    yield best(own, some.column(3).to_numpy(), some.column(4).to_pylist(), _floats(some.column(5).to_pylist(), dims))
+
+    return run
+
+
 def search(unit: DataFrame, asked: DataFrame, forest: Forest, n: int, dims: int, k: int) -> DataFrame:
     """q, m, similarity, compared: the best k of each block that a query visits, and with how many vectors it was compared there."""
     depth, trees = forest.depth, len(forest.splits)
@@ -295,34 +365,26 @@ def search(unit: DataFrame, asked: DataFrame, forest: Forest, n: int, dims: int,
             [pa.array(ids[q]), pa.array(member[m]), pa.array(sims[q, m].astype(np.float64)), pa.array(np.where(first, compared[q], 0))], names=["q", "m", "similarity", "compared"]
         )
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come by block, members before queries: a block's members are held, queries stream past them.
-        now, parts, own = None, [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            edges = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (asks[1:] != asks[:-1]), [True])))
-            for a, b in zip(edges[:-1], edges[1:]):
-                if key[a] != now:
-                    now, parts, own = key[a], [], None
-                run = batch.slice(a, b - a)
-                if not asks[a]:
-                    parts.append((run.column(2).to_numpy(zero_copy_only=False).astype(np.int64), run.column(3).to_numpy(), _floats(run.column(5).to_pylist(), dims)))
-                    continue
-                if own is None and parts:
-                    own = tuple(np.concatenate(c) for c in zip(*parts))
-                    parts = []
-                if own is None:
-                    continue
-                step = max(1, min(256, 8_000_000 // len(own[1])))
-                for at in range(0, run.num_rows, step):
-                    some = run.slice(at, step)
-                    yield best(own, some.column(3).to_numpy(), some.column(4).to_pylist(), _floats(some.column(5).to_pylist(), dims))
+    both = unit.select("vec_id", "unit").mapInArrow(members, _KINDS).unionByName(asked.select("vec_id", "unit").mapInArrow(queries, _KINDS))
+    return both.repartition("key").sortWithinPartitions("key", "asks", "leaf", "id").mapInArrow(_rank(best, dims), _FOUND)
+
+
+def search_all(unit: DataFrame, asked: DataFrame, n: int, dims: int, k: int) -> DataFrame:
+    """As ``search``, without an index: every query is held against every row, in blocks of rows that each are one task."""
+    blocks = max(1, math.ceil((4 * dims + 16) * n / HELD_BYTES), min(unit.sparkSession.sparkContext.defaultParallelism, math.ceil(n / BLOCK_ROWS)))
 
-    kinds = "key long, asks boolean, leaf long, id long, leaves binary, unit binary"
-    both = unit.select("vec_id", "unit").mapInArrow(members, kinds).unionByName(asked.select("vec_id", "unit").mapInArrow(queries, kinds))
-    return both.repartition("key").sortWithinPartitions("key", "asks", "leaf", "id").mapInArrow(rank, "q long, m long, similarity double, compared long")
+    def best(own: tuple, ids: np.ndarray, leaves: list[None], x: np.ndarray) -> pa.RecordBatch:
+        _, member, y = own
+        q, m, sims = _nearest(x, y, member, k)
+        compared = np.where(np.concatenate(([True], q[1:] != q[:-1])), len(member), 0)
+        return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(member[m]), pa.array(sims.astype(np.float64)), pa.array(compared)], names=["q", "m", "similarity", "compared"])
+
+    def rows(own: DataFrame, key: Column, asks: bool) -> DataFrame:
+        return own.select(key.alias("key"), F.lit(asks).alias("asks"), F.lit(0).cast("long").alias("leaf"), F.col("vec_id").alias("id"), F.lit(None).cast("binary").alias("leaves"), "unit")
+
+    members = rows(unit, F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(blocks).cast("long")), False)
+    queries = rows(asked, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), True)
+    return members.unionByName(queries).repartitionById(blocks, F.col("key").cast("int")).sortWithinPartitions("key", "asks").mapInArrow(_rank(best, dims, TILE), _FOUND)
 
 
 def _prepared(vectors: DataFrame) -> tuple[DataFrame | None, int]:
@@ -348,7 +410,8 @@ def nearest_neighbours(
     null, of zero or infinite length, with a null or NaN in them, or of another
     number of dimensions than most (of equally many: the least) are left out, as are
     rows without vec_id. Of rows that repeat a vec_id the least vector counts. Ties
-    in similarity go to the lesser neighbour_id. Equal vectors are searched for once, and a
+    in similarity go to the lesser neighbour_id. The index is searched where it finds ``target`` of the neighbours in at most ``max_compared``
+    comparisons a query (or one in ``INDEX_SHARE`` of all rows); else all rows are. Equal vectors are searched for once, and a
     group of any size stands in the index once. Extra columns are ignored, whatever their
     names; an empty table or a single vector gives no row.
     """
@@ -376,8 +439,11 @@ def nearest_neighbours(
         asking = unit.join(wanted.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi")
     n = unit.count()
     forest = grow(unit, n, dims, trees, leaf, seed=seed)
-    calibrate(unit, asking, forest, n, dims, k, target, max_compared)
-    found = search(unit, asking, forest, n, dims, k + 1).repartition("q").groupBy("q", "m").agg(F.max("similarity").alias("s"))
+    if calibrate(unit, asking, forest, n, dims, k, target, max(max_compared, n // INDEX_SHARE)) >= target:
+        compared = search(unit, asking, forest, n, dims, k + 1)
+    else:
+        compared = search_all(unit, asking, n, dims, k + 1)
+    found = compared.repartition("q").groupBy("q", "m").agg(F.max("similarity").alias("s"))
     near = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), F.col("m").alias("id")))), 1, k + 1).alias("near"))
     if copies is not None:
         pairs = near.select("q", F.explode("near").alias("e")).select("q", F.col("e.d").alias("d"), F.col("e.id").alias("m"))

@@ -379,6 +379,33 @@ def test_no_query_is_compared_with_more_than_the_bound(spark):
     assert len(compared) == 4000 and max(r.c for r in compared) <= 750
 
 
+@pytest.mark.parametrize("held", [64 << 20, 100_000])
+def test_what_the_index_misses_within_its_bound_is_searched_exactly(spark, monkeypatch, held):
+    """Noise needs far more comparisons than the bound allows: all rows are searched, in one block or many, none twice and none left out."""
+    monkeypatch.setattr(neighbours, "HELD_BYTES", held)
+    x = np.random.default_rng(1).standard_normal((4000, 32)).astype(np.float32)
+    x[1::400] = x[0]
+    df, queries = vectors(spark, x), np.arange(0, 4000, 20)
+    rows = neighbours.nearest_neighbours(df, F.col("vec_id") % 20 == 0, max_compared=200).collect()
+    assert len(rows) == 2000 and {r.neighbour_id for r in rows if r.vec_id == 0} == set(range(1, 4000, 400))
+    assert recall(rows, true_neighbours(x, queries), queries) == 1
+    unit, dims = neighbours._prepared(df)
+    compared = neighbours.search_all(unit, unit.where("vec_id % 20 = 0"), 4000, dims, 11).groupBy("q").agg(F.sum("compared").alias("c"), F.count("*").alias("n")).collect()
+    assert len(compared) == 200 and all(r.c == 4000 for r in compared) and (max(r.n for r in compared) > 11) == (held == 100_000)
+
+
+@pytest.mark.parametrize("tile", [50, 900, 8192])
+def test_exact_search_in_tiles_against_sorting(tile):
+    """Whole numbers: similarities tie often and are exact."""
+    rng = np.random.default_rng(6)
+    for n in (3, 704, 5000):
+        x, y, ids = rng.integers(-2, 3, (9, 6)).astype(np.float32), rng.integers(-2, 3, (n, 6)).astype(np.float32), rng.permutation(n)
+        q, m, sims = neighbours._nearest(x, y, ids, 5, tile)
+        for i, s in enumerate(x @ y.T):
+            best = np.lexsort((ids, -s))[:5]
+            assert m[q == i].tolist() == best.tolist() and sims[q == i].tolist() == s[best].tolist()
+
+
 def test_every_vector_as_query(spark):
     x = clustered(2000, 24, 40)
     assert recall(neighbours.nearest_neighbours(vectors(spark, x), leaf=8).collect(), true_neighbours(x, np.arange(2000)), np.arange(2000)) >= 0.9
