@@ -171,3 +171,53 @@ def test_the_cascade_answers_like_every_pixel(spark):
     plain = visibility.line_of_sight_by_pixel(own, px, 20).select("id1", "is_free").collect()
     assert sorted(map(tuple, fast)) == sorted(map(tuple, plain))
     assert len({r.is_free for r in fast}) == 2
+
+
+def _sites(n, seed=12, side=900.0):
+    rng = random.Random(seed)
+    return [(rng.uniform(0, side), rng.uniform(-side, 0), rng.uniform(5, 15), rng.random() < 0.5) for _ in range(n)]
+
+
+@pytest.mark.parametrize("chunk", [7, 4096])
+def test_links_in_chunks_are_those_of_brute_force(spark, chunk):
+    rows = _sites(200)
+    got = sorted((r.id1, r.id2) for r in links.link_nodes(nodes(spark, rows), 200.0, chunk).collect())
+    assert got == sorted((i, j) for i, a in enumerate(rows) for j, b in enumerate(rows[:i]) if (a[3] or b[3]) and math.hypot(a[0] - b[0], a[1] - b[1]) <= 200)
+
+
+def _heights(spark, ppt, size):
+    rng = random.Random(13)
+    px = [(tx, ty, x, y, float("nan") if rng.random() < 0.05 else float(rng.choice([8, 12]) if rng.random() < 0.05 else 0)) for tx in (-1, 0) for ty in (0, 1) for x in range(ppt) for y in range(ppt)]
+    return raster.to_blocks(spark.createDataFrame(px, "tile_x int, tile_y int, px int, py int, h float"), size)
+
+
+@pytest.mark.parametrize("chunk,size", [(7, 5), (4096, 5), (16, 7)])
+def test_sight_from_nodes_is_that_of_the_cascade(spark, chunk, size):
+    n, held = nodes(spark, _sites(150)), _heights(spark, 20, size)
+    want = visibility.line_of_sight(links.link_nodes(n, 300.0), held, 20, size).collect()
+    got = visibility.sight_of_nodes(n, held, 300.0, 20, size, chunk)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len({r.is_free for r in want}) == 2
+    counts = visibility.count_sight(n, held, 300.0, 20, size, chunk).first()
+    pieces = tile_rays.clip_to_tiles(links.link_nodes(n, 300.0), 20).count()
+    assert tuple(counts) == (len(want), sum(r.is_free for r in want), pieces)
+    assert visibility.sight_of_nodes(n.limit(0), held, 300.0, 20, size).count() == 0 and tuple(visibility.count_sight(n.limit(0), held, 300.0, 20, size).first()) == (0, 0, 0)
+
+
+def test_sight_moves_nodes_and_not_links(spark):
+    """Rows that reach the exchange grow with the nodes: four times the nodes are not sixteen times the rows."""
+    held, ppt, size = _heights(spark, 20, 5), 20, 5
+    moved = [visibility._gathered(nodes(spark, _sites(k)), held, 300.0, ppt, size, 4096).where("kind <> 1").count() for k in (300, 1200)]
+    assert moved[1] <= 4.5 * moved[0]
+
+
+def test_a_table_of_crossings_is_the_list():
+    import numpy as np
+
+    from ridgeline.operators import traverse
+
+    rng = np.random.default_rng(3)
+    for whole in (False, True):
+        rays = [rng.uniform(-9, 9, 500) for _ in range(4)]
+        rays = [np.round(c * 2) / 2 if whole else c for c in rays]
+        counts = traverse._crossed(rays[0], rays[2]), traverse._crossed(rays[1], rays[3])
+        assert all(np.array_equal(a, b) for a, b in zip(traverse._in_table(*rays, counts), traverse._in_list(*rays)))
