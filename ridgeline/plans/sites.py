@@ -175,7 +175,7 @@ def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR5."""
-    return graph.length_histogram(links.link_nodes(inputs.nodes(spark, sf_dir), 1000.0), 1000.0, 20)
+    return pair_counts.link_lengths(inputs.nodes(spark, sf_dir), 1000.0, 20)
 
 
 def component_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
