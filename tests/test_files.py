@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import geodesy
 from ridgeline.operators import corrections, raster
 from ridgeline.plans import jobs
-from ridgeline.sinks.files import write_corrections
+from ridgeline.sinks.files import in_ranges, write_corrections, write_geopackages
 from ridgeline.sources import footprints, rasters, tables
 
 
@@ -239,3 +239,24 @@ def test_database_folder(tmp_path):
     (deep / "x.gpkg").write_bytes(b"")
     (tmp_path / "db" / "db" / "0_DOCS").mkdir()
     assert footprints.database_file(str(tmp_path), "db") == str(deep / "x.gpkg")
+
+
+def test_footprints_pass_through_files_in_batches(spark, tmp_path):
+    """Sources in any order, many to a file; no task holds a source's rows."""
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    rows = [(f"s{i % 3}", i, [(x + i, y) for x, y in square]) for i in range(5000)]
+    own = spark.createDataFrame(rows, "source string, fid long, ring array<struct<x: double, y: double>>").repartition(5)
+    written = write_geopackages(own, str(tmp_path))
+    assert "FlatMapGroups" not in written._jdf.queryExecution().toString()
+    paths = {r.path: r.n for r in written.collect()}
+    assert sorted(paths.values()) == [1666, 1667, 1667]
+    back = footprints.read_footprints(spark, sorted(paths)).select("source", "fid", "x0", "x1").collect()
+    assert sorted((r.source[-7:-5], r.fid, r.x0, r.x1) for r in back) == sorted((s, i, float(i), i + 1.0) for s, i, _ in rows)
+
+
+def test_corrections_are_put_in_order_by_ranges(spark, tmp_path):
+    lines = spark.createDataFrame([((i * 7919) % 5000, f"{(i * 7919) % 5000}") for i in range(5000)], "idx long, line string").repartition(6)
+    assert "rangepartitioning" in in_ranges(lines)._jdf.queryExecution().toString()
+    path = write_corrections(lines, str(tmp_path), "tower", "me", "0")
+    files = list(__import__("pathlib").Path(path).glob("part-*"))
+    assert len(files) == 1 and files[0].read_text().split()[1:] == [str(i) for i in range(5000)]
