@@ -165,3 +165,52 @@ def test_snapping_to_polygons(spark):
     assert 0 < got[2].moved < 10 and got[2].building_id == 2
     assert got[3].building_id == 1 and got[3].snapped_x == 60
     assert got[4].snapped_x == 0 and got[5].snapped_x is None and got[6].building_id is None
+
+
+def _sites_and_views(rng, n=300):
+    """Sites in a dense spot and far ones; views of which some are equally near."""
+    lat, lng = 48.8, 2.3
+    sites = [(i, lat + rng.uniform(0, 2e-4), lng + rng.uniform(0, 2e-4)) for i in range(n)] + [(n + i, lat + 0.01 + i * 1e-3, lng) for i in range(5)]
+    views = [(7 * i % 1009, *s[1:]) for i, s in enumerate(sites[: n // 2])] + [(5000 + i, s[1], s[2]) for i, s in enumerate(sites[: n // 2])] + [(9000 + i, lat + 0.01 + i * 1e-3 + 2e-4, lng) for i in range(3)]
+    return sites, views
+
+
+def test_the_nearest_view_is_that_of_all_pairs(spark, monkeypatch):
+    """Near ones are found without those further away: pairs that are looked at stay far below all within the radius."""
+    sites, views = _sites_and_views(random.Random(2))
+    t = spark.createDataFrame(sites, "database_line long, lat double, lng double").cache()
+    v = spark.createDataFrame(views, "view_id long, lat double, lng double").cache()
+    want, looked = {}, []
+    for r in sorted(neighbours.within_radius(t, v, 30.0, "database_line", "view_id").collect(), key=lambda r: (round(r.distance_m, 6), r.b_id)):
+        want.setdefault(r.a_id, r.b_id)
+    plain = neighbours.within_radius
+    monkeypatch.setattr(neighbours, "within_radius", lambda *a, **k: (looked.append(plain(*a, **k)), looked[-1])[1])
+    got = {r.database_line: r.view_id for r in neighbours.nearest_view(t, v, 30.0).collect()}
+    assert got == want and len(got) == 303
+    assert sum(d.count() for d in looked) < plain(t, v, 30.0, "database_line", "view_id").count() / 4
+
+
+def test_snapping_is_that_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    ring = lambda x, y, w, d: [(x, y), (x + w, y), (x + w, y + d), (x, y + d)]
+    boxes = [(i % 37 * 100 + i, *(5.0 * rng.randrange(30) for _ in range(2)), 5.0, 10.0) for i in range(400)]
+    rows = [(i, x, y, x + w, y + d, ring(x, y, w, d) + ([(x, y)] if i % 2 else [])) for i, x, y, w, d in boxes] + [(9000, 300.0, 0.0, 330.0, 30.0, [(300.0, 0.0), (330.0, 0.0), (315.0, 30.0)])]
+    b = spark.createDataFrame(rows, "building_id long, x0 double, y0 double, x1 double, y1 double, ring array<struct<x: double, y: double>>").cache()
+    points = [(i, 2.5 * rng.randrange(60), 2.5 * rng.randrange(60)) for i in range(300)] + [(1000, 302.0, 29.0), (1001, 340.0, 2.5), (1002, 500.0, 0.0), (1003, 350.0, 0.0)]
+    p = spark.createDataFrame(points, "point_id long, x double, y double").cache()
+    pairs = snapping.nearest_buildings(p, b).collect()
+    assert len({(r.point_id, r.building_id) for r in pairs}) == len(pairs)
+    want, looked = {}, []
+    for r in sorted(pairs, key=lambda r: (round(r.distance, 6), r.building_id)):
+        want.setdefault(r.point_id, (r.building_id, r.x, r.y))
+    held = {(r.point_id, r.building_id): (round(r.distance, 6), r.x, r.y) for r in pairs}
+    for i, x, y in points:  # rectangles against plain code
+        for n, x0, y0, x1, y1, _ in rows[:-1]:
+            qx, qy = min(max(x, x0), x1), min(max(y, y0), y1)
+            d = math.hypot(x - qx, y - qy)
+            assert held.get((i, n)) == ((round(d, 6), qx, qy) if d <= 20 else None)
+    plain = snapping.nearest_buildings
+    monkeypatch.setattr(snapping, "nearest_buildings", lambda *a, **k: (looked.append(plain(*a, **k)), looked[-1])[1])
+    got = {r.point_id: (r.building_id, r.snapped_x, r.snapped_y) for r in snapping.snap(p, b).collect()}
+    assert got == {i: want.get(i, (None, None, None)) for i, _, _ in points}
+    assert sum(d.count() for d in looked) < len(pairs) / 2
